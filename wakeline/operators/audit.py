@@ -83,14 +83,18 @@ def min_max(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Data
 
 
 def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
-    """Counts in ``bins`` equal-width bins between minimum and maximum; the last bin is closed."""
+    """Counts in ``bins`` equal-width bins between minimum and maximum; the last bin is closed.
+
+    A constant column is binned on a span of one unit around its value.
+    """
     value = F.col(col).cast("double")
-    span = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    half = F.when(F.min(value) == F.max(value), F.lit(0.5)).otherwise(F.lit(0.0))
+    span = df.agg(F.struct((F.min(value) - half).alias("lo"), (F.max(value) + half).alias("hi"))).scalar()
     held = df.where(F.col(col).isNotNull()).select(value.alias("_v"), span.alias("_s"))
     width = (F.col("_s.hi") - F.col("_s.lo")) / F.lit(float(bins))
-    raw = F.floor(F.try_divide(F.col("_v") - F.col("_s.lo"), width))
+    raw = F.floor((F.col("_v") - F.col("_s.lo")) / width)
     return (
-        held.withColumn("bin", F.coalesce(F.least(raw, F.lit(bins - 1).cast("long")), F.lit(0).cast("long")))
+        held.withColumn("bin", F.least(raw, F.lit(bins - 1).cast("long")))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )

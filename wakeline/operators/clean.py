@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import WEATHER
+from ..session import stage
 from .quantiles import grouped_quantiles
 from .sized import all_of, any_of, attach, null_safe_join
 
@@ -45,12 +46,15 @@ def keep_first(df: DataFrame, keys: list[str], rank: list[str] | None = None) ->
 def duplicate_rows(df: DataFrame, keys: list[str], rank: list[str] | None = None) -> DataFrame:
     """The rows ``keep_first`` rejects, each as often as it occurs.
 
-    Equal rows are counted first; the kept row of each key is looked up on all columns, so
-    neither side has a heavy key. Counts are expanded in chunks spread over tasks.
+    Only rows of repeated keys are looked at. Equal rows are counted first; the kept row of each
+    key is looked up on all columns, so neither side has a heavy key. Counts are expanded in chunks
+    spread over tasks.
     """
     cols = df.columns
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    kept = keep_first(df, keys, rank).withColumn("_kept", F.lit(1))
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    suspects = attach(df, repeated, keys, "left_semi")
+    counted = stage(suspects.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")), "counted-rows")
+    kept = keep_first(counted.select(*cols), keys, rank).withColumn("_kept", F.lit(1))
     extra = null_safe_join(counted, kept, cols, "left").withColumn(
         "_n", F.col("_n") - F.coalesce(F.col("_kept"), F.lit(0))
     )

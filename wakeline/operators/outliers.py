@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..session import stage
 from .ordering import with_position
 from .quantiles import grouped_quantiles
-from .sized import all_of, attach
+from .sized import HEAVY_ROWS, all_of, attach, spread
 
 MAX_K = 100
 K_SHARE = 0.1
@@ -40,6 +40,14 @@ def _weighted_points(df: DataFrame, key: str, cols: list[str], max_k: int, share
     return attach(points, sizes.select(key, "_k", "_m"), [key], "inner")
 
 
+def _back_to_rows(df: DataFrame, scores: DataFrame, points: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Scores per distinct point, given to all rows at that point; points with very many rows are known."""
+    types = {c: df.schema[c].dataType for c in cols}
+    typed = scores.withColumns({c: F.col(c).cast(k) for c, k in types.items()})
+    heavy = points.where(F.col("_w") > HEAVY_ROWS).withColumns({c: F.col(c).cast(k) for c, k in types.items()})
+    return attach(df, typed, [key, *cols], heavy=heavy)
+
+
 # --------------------------------------------------------------------------- one column
 
 
@@ -89,10 +97,9 @@ def knn_score_1d(
         done = pd.DataFrame({key: pdf[key].to_numpy()[mine], col: x[mine], "_score": best[mine]})
         return done.drop_duplicates(col)
 
-    scores = blocks.groupBy(key, "_block").applyInPandas(score, schema)
+    scores = spread(blocks, key, "_block").groupBy(key, "_block").applyInPandas(score, schema)
     per_value = scores.groupBy(key, col).agg(F.min("_score").alias(out))
-    typed = per_value.withColumn(col, F.col(col).cast(df.schema[col].dataType))
-    return attach(df, typed, [key, col])
+    return _back_to_rows(df, per_value, points, key, [col])
 
 
 def _value_bins(df: DataFrame, key: str, col: str, hot_rows: int) -> DataFrame:
@@ -131,14 +138,13 @@ def knn_score(
     points = stage(_weighted_points(df, key, cols, max_k, share), "knn-weighted")
     fields = [df.schema[key], *[T.StructField(c, T.DoubleType()) for c in cols]]
     cold = points.where(F.col("_m") <= cell_points)
-    scores = cold.groupBy(key).applyInPandas(
+    scores = spread(cold, key).groupBy(key).applyInPandas(
         _score_group(key, cols, out), T.StructType([*fields, T.StructField(out, T.DoubleType())])
     )
     hot = points.where(F.col("_m") > cell_points)
     if not hot.isEmpty():
         scores = scores.unionByName(_score_cells(hot, key, cols, out, cell_points, fields))
-    typed = scores.withColumns({c: F.col(c).cast(df.schema[c].dataType) for c in cols})
-    return attach(df, typed, [key, *cols])
+    return _back_to_rows(df, scores, points, key, cols)
 
 
 def _nearest(q: np.ndarray, c: np.ndarray, w: np.ndarray, count: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -214,7 +220,7 @@ def _score_cells(
         *[F.col(f"_hi_{c}").alias(f"_phi_{c}") for c in cols],
     )
     with_parent = attach(pts.withColumn("_parent", _parent_of("_cell")), parent_box, [key, "_parent"], "inner")
-    first = stage(with_parent.groupBy(key, "_cell").applyInPandas(own, own_schema), "knn-own")
+    first = stage(spread(with_parent, key, "_cell").groupBy(key, "_cell").applyInPandas(own, own_schema), "knn-own")
 
     # Descend the tree from the root, keeping for each leaf the nodes its farthest-reaching point may need.
     leaves = nodes.where(F.col("_n") <= limit)
@@ -264,7 +270,10 @@ def _score_cells(
             near += _lists(d, wt, k + 1, bound[part])
         return pd.DataFrame({**{c: qs[c] for c in [key, *cols, "_k"]}, "_near": near})[[key, *cols, "_k", "_near"]]
 
-    second = asking.groupBy(key, "_q", "_c").cogroup(offered.groupBy(key, "_q", "_c")).applyInPandas(across, pair_schema)
+    pair = [key, "_q", "_c"]
+    second = (
+        spread(asking, *pair).groupBy(*pair).cogroup(spread(offered, *pair).groupBy(*pair)).applyInPandas(across, pair_schema)
+    )
     lists = first.select(key, *cols, "_k", "_near").unionByName(second)
     merged = lists.groupBy(key, *cols, "_k").agg(F.array_sort(F.flatten(F.collect_list("_near"))).alias("_near"))
     return merged.select(key, *cols, F.element_at("_near", (F.col("_k") + 1).cast("int")).alias(out))

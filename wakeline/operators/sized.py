@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import stage
 
 BROADCAST_ROWS = 200_000
-SALTS = 32
+HEAVY_ROWS = 5_000_000
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -37,19 +37,33 @@ def attach(
     keys: list[str],
     how: str = "left",
     bound: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    heavy: DataFrame | None = None,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Join ``rows`` with ``table``, which holds at most one row per key.
 
-    The table is written once and counted. Up to ``bound`` rows it is broadcast, so
-    the rows are not shuffled at all. Beyond that, the rows of each key are spread
-    over ``salts`` reducers and the table is repeated per salt, so that one hot key
-    never lands in one task.
+    The table is written once and counted. Up to ``bound`` rows it is broadcast, so the rows are not
+    shuffled at all. Beyond that it is a shuffle join, except for heavy keys: those with more than
+    ``heavy_rows`` rows, of which there can be only (rows / heavy_rows), meet their part of the
+    table by broadcast. ``heavy`` lists such keys where the caller knows them already.
     """
     table = stage(table, "attach")
     if table.count() <= bound:
         return null_safe_join(rows, F.broadcast(table), keys, how)
-    # The salt is a hash of the whole row: it is the same on every retry of a task.
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return null_safe_join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
+    if heavy is None:
+        heavy = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
+    heavy = stage(heavy.select(*keys), "heavy-keys")
+    if heavy.isEmpty():
+        return null_safe_join(rows, table, keys, how)
+    few = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+    marked = null_safe_join(rows, few, keys, "left")
+    hot_table = null_safe_join(table, few, keys, "left_semi")
+    hot = null_safe_join(marked.where("_hot").drop("_hot"), F.broadcast(hot_table), keys, how)
+    cold = null_safe_join(marked.where("_hot IS NULL").drop("_hot"), table, keys, how)
+    return cold.unionByName(hot)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ahead of Python work. The explicit number keeps adaptive execution from
+    folding groups that are small in bytes but costly in time into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

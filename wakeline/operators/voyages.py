@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordering import BUCKET_HOURS, group_offsets, time_bucket, with_neighbours, with_position
-from .sized import null_safe_join
+from .ordering import BUCKET_HOURS, group_offsets, time_bucket, with_position
+from .sized import attach, null_safe_join
 
 VOYAGE_KEY = ["ship_id", "dep_utc", "arr_utc"]
 
@@ -28,7 +28,7 @@ def alternation_violations(numbered: DataFrame, bucket_hours: int = BUCKET_HOURS
     the same instant are ordered departure after arrival, then by voyage.
     """
     events = numbered.unpivot(["ship_id", "rout_id"], ["dep_utc", "arr_utc"], "variable", "utc")
-    # one sortable column: with_neighbours orders by it, and instants may tie
+    # one sortable column, as instants may tie
     order = F.struct("utc", "variable", "rout_id")
     cut = events.withColumn("_b", time_bucket("utc", bucket_hours)).withColumn("_o", order)
     inside = Window.partitionBy("ship_id", "_b").orderBy("_o")
@@ -82,6 +82,6 @@ def label_voyages(
         .select("ship_id", F.col("_t").alias(time), F.greatest("_full", "_part").alias("rout_id"))
         .where(F.col("rout_id").isNotNull())
     )
-    return null_safe_join(legs, answers, ["ship_id", time], "left").withColumn(
+    return attach(legs, answers, ["ship_id", time]).withColumn(
         "rout_id", F.coalesce("rout_id", F.lit(0).cast("long"))
     )
