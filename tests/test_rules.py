@@ -203,10 +203,10 @@ def test_stage_folder_follows_the_session(spark):
     def session(master, **conf):
         return SimpleNamespace(
             conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.replace(".", "_"), default)),
-            sparkContext=SimpleNamespace(master=master),
+            sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
         )
 
-    assert stage_dir(session("spark://host", spark_checkpoint_dir="hdfs://x/ck/")) == "hdfs://x/ck/wakeline"
+    assert stage_dir(session("spark://host", spark_checkpoint_dir="hdfs://x/ck/")) == "hdfs://x/ck/wakeline/app-1"
     with pytest.raises(RuntimeError):
         stage_dir(session("spark://host"))
     assert stage_dir(spark) == stage_dir(spark)

@@ -119,11 +119,12 @@ def test_knn_cells(spark, cell_points):
         assert np.allclose(np.array(mine), np.array(want), atol=1e-9)
 
 
-def test_percent_rank_table(spark):
+@pytest.mark.parametrize("hot_rows", [50, 10**6])
+def test_percent_rank_table(spark, hot_rows):
     rng = random.Random(2)
     data = [(rng.choice(["x", "y"]), rng.choice([0.5, rng.random(), 1000.0])) for _ in range(400)]
     df = spark.createDataFrame(data, "type string, v double")
-    got = {(r.type, r.v): (r.n_rows, r.pct_rank) for r in evaluate.percent_rank_table(df, ["type"], "v").collect()}
+    got = {(r.type, r.v): (r.n_rows, r.pct_rank) for r in evaluate.percent_rank_table(df, ["type"], "v", hot_rows).collect()}
     for kind in ("x", "y"):
         mine = [v for t, v in data if t == kind]
         for v in set(mine):

@@ -160,8 +160,8 @@ def test_voyages(spark):
         (*v, i + 1) for i, v in enumerate(listed)
     ]
     asks = [(s, "a", hours(h), float(h)) for s in (1, 2, 3) for h in range(0, 2400, 5)] + [(1, "a", hours(0), -1.0)]
-    for bucket in (3, 24, 24 * 60):
-        got = voyages.label_voyages(legs(spark, asks), numbered, bucket_hours=bucket).collect()
+    for bucket, crowded in ((3, 64), (24, 1), (24 * 60, 2)):
+        got = voyages.label_voyages(legs(spark, asks), numbered, bucket_hours=bucket, crowded=crowded).collect()
         assert len(got) == len(asks)
         for r in got:
             cover = [i + 1 for i, (s, d, a) in enumerate(listed) if s == r.ship_id and d <= r.utc <= a]

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.performance import denorm_speed
 from ..session import stage
-from .quantiles import grouped_quantiles
-from .sized import attach, null_safe_join
+from .quantiles import HOT_ROWS, grouped_quantiles, value_bins
+from .sized import null_safe_join
 
-RANK_BINS = 4096
 METRICS = ["mae", "rmse", "mape", "r2"]
 
 
@@ -68,20 +67,25 @@ def assemble_results(df: DataFrame, register: DataFrame, pred: str = "pred_norma
     )
 
 
-def percent_rank_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def percent_rank_table(df: DataFrame, by: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Distinct values per group with their frequency and percent rank: the points of a QQ plot.
 
-    Ranks run per (group, value bin) with offsets from a table of bins, never over a whole group at once.
+    Ranks run per (group, value bin) with offsets from a table of bins; groups of very many distinct
+    values are cut into bins, so none is ranked in one task.
     """
-    # the rank of a value counts all smaller ones, so frequencies are summed first
     freq = stage(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_rows")), "frequencies")
-    ends = freq.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n_rows").alias("_total"))
-    held = attach(freq, ends, by)
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(RANK_BINS))
-    binned = held.withColumn("_bin", F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(0)))
-    bins = binned.groupBy(*by, "_bin").agg(F.sum("n_rows").alias("_n"))
+    binned = stage(value_bins(freq, by, value, hot_rows), "binned")
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*by, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    bins = (
+        binned.groupBy(*by, "_bin")
+        .agg(F.sum("n_rows").alias("_n"))
+        .select(
+            *by,
+            "_bin",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+            F.sum("_n").over(Window.partitionBy(*by)).alias("_total"),
+        )
+    )
     inside = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = binned.withColumn("_in", F.coalesce(F.sum("n_rows").over(inside), F.lit(0)))
     ranked = null_safe_join(local, bins, [*by, "_bin"])

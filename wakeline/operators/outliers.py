@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import stage
 from .ordering import with_position
-from .quantiles import grouped_quantiles
+from .quantiles import grouped_quantiles, value_bins
 from .sized import HEAVY_ROWS, all_of, attach, spread
 
 MAX_K = 100
@@ -71,7 +71,7 @@ def knn_score_1d(
     copies = points.select(
         key, col, "_k", "_m", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_w"), F.col("_k") + 1))).alias("_i")
     )
-    binned = _value_bins(copies, key, col, hot_rows)
+    binned = value_bins(copies, [key], col, hot_rows)
     placed = with_position(binned, [key], [col, "_i"], F.col("_bin"), "_pos", "_size")
     own = F.floor((F.col("_pos") - 1) / F.lit(block_rows))
     low = F.floor(F.greatest(F.col("_pos") - 1 - F.col("_k"), F.lit(0)) / F.lit(block_rows))
@@ -102,21 +102,6 @@ def knn_score_1d(
     return _back_to_rows(df, per_value, points, key, [col])
 
 
-def _value_bins(df: DataFrame, key: str, col: str, hot_rows: int) -> DataFrame:
-    """Add ``_bin``, monotone in ``col``; only groups above ``hot_rows`` are cut, at sketch quantiles."""
-    hot = stage(df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_rows), "hot-groups")
-    if hot.isEmpty():
-        return df.withColumn("_bin", F.lit(0).cast("long"))
-    cuts = (
-        attach(df.select(key, col), hot.select(key), [key], "left_semi")
-        .groupBy(key)
-        .agg(F.array_distinct(F.percentile_approx(col, [i / 256 for i in range(1, 256)], 2000)).alias("_cuts"))
-    )
-    cut = attach(df, cuts, [key])
-    position = F.size(F.filter("_cuts", lambda s: s < F.col(col)))
-    return cut.withColumn("_bin", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(position).cast("long")).drop("_cuts")
-
-
 # ------------------------------------------------------------------------ several columns
 
 

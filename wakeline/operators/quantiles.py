@@ -113,3 +113,18 @@ def _bracketed(valued: DataFrame, keys: list[str], sizes: DataFrame, probs: list
 def _only(one_row: DataFrame):
     """The single value of a one-row, one-column table as a scalar subquery."""
     return one_row.scalar()
+
+
+def value_bins(df: DataFrame, keys: list[str], col: str, hot_rows: int = HOT_ROWS, bins: int = 256) -> DataFrame:
+    """Add ``_bin``, monotone in ``col``; only groups above ``hot_rows`` are cut, at sketch quantiles."""
+    hot = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_rows), "hot-groups")
+    if hot.isEmpty():
+        return df.withColumn("_bin", F.lit(0).cast("long"))
+    cuts = (
+        attach(df.select(*keys, col), hot.select(*keys), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.array_distinct(F.percentile_approx(col, [i / bins for i in range(1, bins)], 8 * bins)).alias("_cuts"))
+    )
+    cut = attach(df, cuts, keys)
+    position = F.size(F.filter("_cuts", lambda s: s < F.col(col)))
+    return cut.withColumn("_bin", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(position).cast("long")).drop("_cuts")

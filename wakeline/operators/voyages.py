@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordering import BUCKET_HOURS, group_offsets, time_bucket, with_position
+from ..session import stage
+from .ordering import BUCKET_HOURS, group_offsets, micros, time_bucket, with_position
 from .sized import attach, null_safe_join
 
 VOYAGE_KEY = ["ship_id", "dep_utc", "arr_utc"]
+# more voyages than this beginning or ending in one bucket of a ship cut the bucket into smaller ones
+CROWDED = 64
 
 
 def number_voyages(voyages: DataFrame, bucket_hours: int = BUCKET_HOURS) -> DataFrame:
@@ -48,40 +51,72 @@ def alternation_violations(numbered: DataFrame, bucket_hours: int = BUCKET_HOURS
 
 
 def label_voyages(
-    legs: DataFrame, numbered: DataFrame, time: str = "utc", bucket_hours: int = BUCKET_HOURS
+    legs: DataFrame,
+    numbered: DataFrame,
+    time: str = "utc",
+    bucket_hours: int = BUCKET_HOURS,
+    crowded: int = CROWDED,
 ) -> DataFrame:
-    """Add ``rout_id`` of the voyage covering the row's time, 0 outside; of overlapping voyages the largest id.
+    """Add ``rout_id`` of the voyage covering the row's time, 0 outside; of overlapping voyages the largest id."""
+    # The answer depends on (ship, time) only, so equal times are asked once.
+    asked = legs.where(F.col(time).isNotNull()).select("ship_id", F.col(time).alias("_time")).distinct()
+    asked = stage(asked.withColumn("_t", micros("_time")), "voyage-times")
+    spans = stage(
+        numbered.select("ship_id", micros("dep_utc").alias("_dep"), micros("arr_utc").alias("_arr"), "rout_id"), "voyage-spans"
+    )
+    best = _largest_cover(asked.select("ship_id", "_t"), spans, bucket_hours * 3_600_000_000, crowded)
+    answers = asked.join(best, ["ship_id", "_t"]).select("ship_id", F.col("_time").alias(time), "rout_id")
+    return attach(legs, answers, ["ship_id", time]).withColumn(
+        "rout_id", F.coalesce("rout_id", F.lit(0).cast("long"))
+    )
+
 
-    The range predicate is evaluated only where a voyage begins or ends inside the row's bucket.
-    Buckets a voyage covers entirely need no predicate: one row per (ship, bucket) keeps the largest id.
+def _largest_cover(asked: DataFrame, spans: DataFrame, width: int, crowded: int) -> DataFrame:
+    """(ship_id, _t, rout_id) for the times that some span [_dep, _arr] covers.
+
+    A bucket that a span covers whole needs no comparison: one row per (ship, bucket) keeps the
+    largest id. Times are compared with spans only where a span begins or ends inside the bucket;
+    buckets where more than ``crowded`` do are cut again, down to single instants if need be.
     """
-    spans = numbered.withColumn("_b0", time_bucket("dep_utc", bucket_hours)).withColumn(
-        "_b1", time_bucket("arr_utc", bucket_hours)
+    w = F.lit(width)
+    first_whole, last_whole = -F.floor(-F.col("_dep") / w), F.floor((F.col("_arr") + 1) / w) - 1
+    placed = spans.where("_dep <= _arr").withColumns(
+        {"_b0": F.floor(F.col("_dep") / w), "_b1": F.floor(F.col("_arr") / w), "_f0": first_whole, "_f1": last_whole}
     )
-    spans = spans.where(F.col("_b0") <= F.col("_b1"))
-    ends = spans.select(
-        "*", F.explode(F.array_distinct(F.array("_b0", "_b1"))).alias("_b")
-    ).select("ship_id", "_b", "dep_utc", "arr_utc", F.col("rout_id").alias("_rid"))
-    full = (
-        spans.where(F.col("_b1") - F.col("_b0") >= 2)
-        .select("ship_id", "rout_id", F.explode(F.sequence(F.col("_b0") + 1, F.col("_b1") - 1)).alias("_b"))
+    whole = (
+        placed.where("_f0 <= _f1")
+        .select("ship_id", "rout_id", F.explode(F.sequence("_f0", "_f1")).alias("_b"))
         .groupBy("ship_id", "_b")
-        .agg(F.max("rout_id").alias("_full"))
+        .agg(F.max("rout_id").alias("_whole"))
     )
-    # The answer depends on (ship, time) only, so equal times are asked once.
-    asked = legs.select("ship_id", F.col(time).alias("_t")).distinct().withColumn("_b", time_bucket("_t", bucket_hours))
-    partial = (
-        asked.join(ends, ["ship_id", "_b"])
-        .where(F.col("_t").between(F.col("dep_utc"), F.col("arr_utc")))
+    touched = F.array_distinct(F.array(F.when(F.col("_b0") < F.col("_f0"), F.col("_b0")), F.when(F.col("_b1") > F.col("_f1"), F.col("_b1"))))
+    ends = placed.select("ship_id", "_dep", "_arr", "rout_id", F.explode(touched).alias("_b")).where("_b IS NOT NULL")
+    at = asked.withColumn("_b", F.floor(F.col("_t") / w))
+    crowd = stage(ends.groupBy("ship_id", "_b").count().where(F.col("count") > crowded).select("ship_id", "_b"), "crowded")
+    nested = None
+    if not crowd.isEmpty():
+        # clipped to their bucket, the spans of a crowded bucket fall into 24 smaller ones
+        inner = attach(ends, crowd, ["ship_id", "_b"], "left_semi").select(
+            "ship_id",
+            F.greatest(F.col("_dep"), F.col("_b") * w).alias("_dep"),
+            F.least(F.col("_arr"), (F.col("_b") + 1) * w - 1).alias("_arr"),
+            "rout_id",
+        )
+        nested = _largest_cover(
+            attach(at, crowd, ["ship_id", "_b"], "left_semi").select("ship_id", "_t"), stage(inner, "crowded-spans"), max(1, width // 24), crowded
+        ).withColumnRenamed("rout_id", "_part")
+        ends = attach(ends, crowd, ["ship_id", "_b"], "left_anti")
+    part = (
+        at.join(ends, ["ship_id", "_b"])
+        .where(F.col("_t").between(F.col("_dep"), F.col("_arr")))
         .groupBy("ship_id", "_t")
-        .agg(F.max("_rid").alias("_part"))
+        .agg(F.max("rout_id").alias("_part"))
     )
-    answers = (
-        asked.join(full, ["ship_id", "_b"], "left")
-        .join(partial, ["ship_id", "_t"], "left")
-        .select("ship_id", F.col("_t").alias(time), F.greatest("_full", "_part").alias("rout_id"))
+    if nested is not None:
+        part = part.unionByName(nested)
+    return (
+        at.join(whole, ["ship_id", "_b"], "left")
+        .join(part, ["ship_id", "_t"], "left")
+        .select("ship_id", "_t", F.greatest("_whole", "_part").alias("rout_id"))
         .where(F.col("rout_id").isNotNull())
     )
-    return attach(legs, answers, ["ship_id", time]).withColumn(
-        "rout_id", F.coalesce("rout_id", F.lit(0).cast("long"))
-    )

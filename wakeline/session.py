@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,11 +41,13 @@ def stage_dir(spark: SparkSession) -> str:
     global _LOCAL_STAGE
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return shared.rstrip("/") + "/wakeline"
+        # one folder per application, to be removed when the application is done
+        return f"{shared.rstrip('/')}/wakeline/{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if _LOCAL_STAGE is None:
         _LOCAL_STAGE = tempfile.mkdtemp(prefix="wakeline-")
+        atexit.register(shutil.rmtree, _LOCAL_STAGE, ignore_errors=True)
     return _LOCAL_STAGE
 
 
