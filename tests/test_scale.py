@@ -137,3 +137,13 @@ def test_outlier_label(spark):
     df = spark.createDataFrame([(1, float(i)) for i in range(11)], "ship_id long, outlier_score double")
     flagged = outliers.outlier_label(df).where("outlier_label = 1").collect()
     assert [r.outlier_score for r in flagged] == [10.0]  # the 0.9 quantile is 9, not itself above
+
+
+def test_pca_outlier_is_the_distance_to_the_leading_plane(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 3)) @ np.array([[2, 1, 0], [0, 1, 0.5], [0, 0, 0.2]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "i long, a double, b double, c double")
+    got = [r.outlier_score for r in outliers.pca_outlier(df, ["a", "b", "c"]).orderBy("i").collect()]
+    z = (x - x.mean(0)) / x.std(0)
+    _, _, vt = np.linalg.svd(z, full_matrices=False)
+    assert got == pytest.approx(np.abs(z @ vt[2]).tolist(), abs=1e-6)

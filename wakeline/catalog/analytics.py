@@ -116,8 +116,9 @@ def _scaled_sql() -> str:
 
 @query("standardize_fit_apply", _scaled_sql())
 def _(t):
-    typed = stage(split_f2(t), "split")
-    return rounded(scaling.standardize_splits(typed, SCALED).select(*ROW, "type", *SCALED), SCALED)
+    # the split feeds both the fit and the rows
+    typed = stage(split_f2(t).select(*ROW, "type", *SCALED), "split")
+    return rounded(scaling.standardize_splits(typed, SCALED), SCALED)
 
 
 @query("inverse_scale", f"SELECT {ROWS}, {r('foc_me')} AS foc_back FROM f2_leg")
@@ -137,7 +138,7 @@ MONTH = 24 * 30
 def ridge_rows(t):
     legs = clean.missing_ge(t.f2_leg, ["wind_u", "crnt_u"])
     table = feature_table(legs, t.f3_register, keep=[*ROW, "client", "rpm"])
-    return stage(table.na.drop(subset=["normalized_rpm"]), "ridge-rows")
+    return table.select(*ROW, "client", *RIDGE_FEATURES, "foc_me").na.drop(subset=["normalized_rpm"])
 
 
 ROW_ORDER = ["utc", "client", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
@@ -241,8 +242,7 @@ def _(t):
         FROM w LEFT JOIN (SELECT ship_id, speed_at_mcr FROM f3_register) USING (ship_id)""",
 )
 def _(t):
-    typed = stage(split_f2(t), "split")
-    table = feature_table(typed, t.f3_register, keep=[*ROW, "type"])
+    table = feature_table(split_f2(t), t.f3_register, keep=[*ROW, "type"])
     # og_speed / 20 stands in for a model's normalised prediction
     predicted = table.withColumn("pred_normalized_tw_speed", F.col("og_speed") / 20.0)
     res = evaluate.assemble_results(predicted, t.f3_register)
@@ -282,7 +282,12 @@ def _(t):
     return rounded(cubed.select(*ROW, "rpm_3", "rpm_norm_3"), ["rpm_3", "rpm_norm_3"])
 
 
-@query("feature_sets")
+@query(
+    "feature_sets",
+    """SELECT 'features' AS feature_set, 18 AS n_cols, count(*) AS n_complete FROM f2_leg UNION ALL
+       SELECT 'all_features', 27, count(power_at_mcr) FROM f2_leg
+         LEFT JOIN (SELECT ship_id, power_at_mcr FROM f3_register) USING (ship_id)""",
+)
 def _(t):
     """Row counts of every named set that the fixture's feature table can serve."""
     table = feature_table(t.f2_leg, t.f3_register, keep=[*ROW, "client"])

@@ -3,7 +3,11 @@
 A window over one ship's whole history would run in a single task, and one ship may
 own a large part of all rows. Here a group is first cut into buckets of the ordering
 column; the row-level windows run per (group, bucket), and a table with one row per
-(group, bucket) carries offsets and edge values across bucket borders.
+(group, bucket) carries offsets and edge values across bucket borders. The two meet on the
+very keys the rows are already partitioned by, so the rows are shuffled once.
+
+Rows whose key is NULL belong to no group: they are kept, without position or neighbours
+beyond their bucket.
 """
 
 from __future__ import annotations
@@ -78,10 +82,8 @@ def with_position(
             F.sum("_n").over(Window.partitionBy(*keys)).alias(size),
         )
     )
-    return (
-        null_safe_join(local, counts, [*keys, "_b"])
-        .withColumn(position, F.col("_off") + F.col("_rn"))
-        .drop("_b", "_rn", "_off")
+    return local.join(counts, [*keys, "_b"], "left").select(
+        *df.columns, (F.col("_off") + F.col("_rn")).alias(position), size
     )
 
 
@@ -118,7 +120,7 @@ def with_neighbours(
         local = local.withColumn(f"_p_{out}", F.lag(source).over(row))
     for out, source in following.items():
         local = local.withColumn(f"_f_{out}", F.lead(source).over(row))
-    joined = null_safe_join(local, edges, [*keys, "_b"])
+    joined = local.join(edges, [*keys, "_b"], "left")
     outputs = [F.col(c) for c in df.columns]
     for out in previous:
         outputs.append(F.when(F.col("_i") > 1, F.col(f"_p_{out}")).otherwise(F.col(f"_before.{out}")).alias(out))

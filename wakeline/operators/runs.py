@@ -1,8 +1,8 @@
 """Continuous runs: gaps, point classes, run numbering and run-level fuel rules.
 
 Rows of one (ship, client) belong to the same run while consecutive timestamps are at
-most ``gap`` hours apart. Rows without any neighbour that near are isolated and belong
-to no run. (keys, time) is unique: run the keep-first rule before.
+most ``gap`` hours apart. Rows without any neighbour that near, or with a NULL key, are isolated
+and belong to no run. (keys, time) is unique: run the keep-first rule before.
 """
 
 from __future__ import annotations
@@ -143,9 +143,8 @@ def continuous_runs(
         per_bucket.withColumn("_off", F.coalesce(F.sum("_heads").over(earlier), F.lit(0))), offsets, keys
     ).select(*b, "_tot0", "_tot1", "_open0", (F.col("_off") + F.col("_group_off")).alias("_off"))
 
-    rows = null_safe_join(
-        with_len.withColumn("_lastc", F.max("_chain").over(Window.partitionBy(*b))), carried, b
-    )
+    # same keys as the windows above: the rows stay where they are
+    rows = with_len.withColumn("_lastc", F.max("_chain").over(Window.partitionBy(*b))).join(carried, b)
     length = (
         F.when(F.col("_chain") == 0, F.col("_tot0"))
         .when(F.col("_chain") == F.col("_lastc"), F.col("_tot1"))
@@ -183,7 +182,7 @@ def with_run_stats(
     whole = Window.partitionBy(run)
     merged = part.select(run, "_b", *[c.over(whole).alias(f"_r_{n}") for n, c in total.items()])
     return (
-        null_safe_join(cut, merged, [run, "_b"])
+        cut.join(merged, [run, "_b"])
         .select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in total])
     )
 

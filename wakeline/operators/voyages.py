@@ -42,7 +42,7 @@ def alternation_violations(numbered: DataFrame, bucket_hours: int = BUCKET_HOURS
         .select("ship_id", "_b", "_before")
     )
     local = cut.withColumn("_rn", F.row_number().over(inside)).withColumn("_pv", F.lag("variable").over(inside))
-    joined = null_safe_join(local, edges, ["ship_id", "_b"])
+    joined = local.join(edges, ["ship_id", "_b"])
     previous = F.when(F.col("_rn") > 1, F.col("_pv")).otherwise(F.col("_before"))
     expected = F.when(F.col("variable") == "dep_utc", "arr_utc").otherwise("dep_utc")
     return joined.where(F.coalesce(previous, F.lit("arr_utc")) != expected).select(

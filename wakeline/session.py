@@ -20,6 +20,8 @@ def build_session(app: str = "wakeline", cores: str | int = "*", **conf: str) ->
         "spark.sql.shuffle.partitions": os.environ.get("WAKELINE_SHUFFLE", "8"),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # small inputs: keep all cores busy instead of folding shuffles into one task
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         **conf,
