@@ -165,18 +165,18 @@ def write(path, text):
 
 def test_raw_trees(spark, tmp_path):
     leg = {"client": "x", "foc_me": 10.0, "rpm": "70", "utc": "2020-01-01 00:00:00", "wind_u": 1.0}
-    for tree, foc in (("data_error_corrected", 11.0), ("data", 10.0)):
-        write(f"{tmp_path}/{tree}/12796/v1/a/leg.json", json.dumps([{**leg, "foc_me": foc}, {**leg, "utc": "2020-01-01 01:00:00"}]))
-        write(f"{tmp_path}/{tree}/12796/v1/a/other.json", json.dumps([leg] * 5))
-    write(f"{tmp_path}/data/18180/v1/b/leg.json", json.dumps([leg]))
-    write(f"{tmp_path}/data/18180/draftlist.json", json.dumps([{"dep_utc": "2020-01-01T00:00:00", "arr_utc": "2020-01-09T00:00:00"}]))
-    legs = files.scan_legs(spark, [f"{tmp_path}/data_error_corrected", f"{tmp_path}/data"])
-    assert sorted({r.ship_id for r in legs.collect()}) == [12796, 18180] and legs.count() == 5
+    for tree, foc in (("corrected", 11.0), ("data", 10.0)):
+        write(f"{tmp_path}/{tree}/4711/v1/a/leg.json", json.dumps([{**leg, "foc_me": foc}, {**leg, "utc": "2020-01-01 01:00:00"}]))
+        write(f"{tmp_path}/{tree}/4711/v1/a/other.json", json.dumps([leg] * 5))
+    write(f"{tmp_path}/data/4712/v1/b/leg.json", json.dumps([leg]))
+    write(f"{tmp_path}/data/4712/draftlist.json", json.dumps([{"dep_utc": "2020-01-01T00:00:00", "arr_utc": "2020-01-09T00:00:00"}]))
+    legs = files.scan_legs(spark, [f"{tmp_path}/corrected", f"{tmp_path}/data"])
+    assert sorted({r.ship_id for r in legs.collect()}) == [4711, 4712] and legs.count() == 5
     first = clean.keep_first(legs, ["ship_id", "client", "utc"], ["source_rank"])
     kept = {(r.ship_id, r.utc): r.foc_me for r in first.collect()}
-    assert kept[12796, "2020-01-01 00:00:00"] == 11.0 and len(kept) == 3
+    assert kept[4711, "2020-01-01 00:00:00"] == 11.0 and len(kept) == 3
     trips = files.scan_draftlists(spark, [f"{tmp_path}/data"])
-    assert [(r.ship_id, r.arr_utc.day) for r in trips.collect()] == [(18180, 9)]
+    assert [(r.ship_id, r.arr_utc.day) for r in trips.collect()] == [(4712, 9)]
 
 
 def test_register_documents(spark, tmp_path):

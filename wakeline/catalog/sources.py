@@ -142,7 +142,7 @@ def _(t):
     "SELECT client, count(*) AS n_rows FROM f2_leg WHERE sea_dir > 0 AND swl_dir > 0 GROUP BY client",
 )
 def _(t):
-    path = stage_path(t.spark, "df-mod")
+    path = stage_path(t.spark, "stage-table")
     files.sink_table(clean.dir_positive(t.f2_leg), path, partition_by=["client"])
     return t.spark.read.parquet(path).groupBy("client").agg(F.count(F.lit(1)).alias("n_rows"))
 

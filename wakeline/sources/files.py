@@ -18,7 +18,7 @@ REGISTER_XML_SCHEMA = T.StructType(
 def path_id(level: int) -> Column:
     """The number that ends the ``level``-th path element from the right of the row's file.
 
-    Accepts plain directories (``12796``) and partition directories (``ship=12796``).
+    Accepts plain directories (``4711``) and partition directories (``ship=4711``).
     """
     element = F.element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-level))
     return F.regexp_extract(element, "([0-9]+)$", 1).cast("long")
