@@ -15,7 +15,7 @@ from .common import body, let, lower_az, row_key, upto
 
 GRAM = 3
 NEAR = 3  # diagonals this close belong to one span: words put in or left out
-MIN_TEMPLATE = {"short": 0.8, "long": 0.4}
+MIN_TEMPLATE = {"short": 0.9, "long": 0.4}
 LONG = 24  # words
 MIN_SPAN = 0.75
 
