@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, clean, evaluate, runs
 from ..operators.quantiles import grouped_quantiles
+from ..schema import REGISTER_NUMERIC
 from ..session import stage
-from .filters import RATED, RATED_SQL, ROW, ROWS, WX, any_sql
+from .filters import DIRS, RATED, RATED_SQL, ROW, ROWS, WX, any_sql
 from .joins import MIN_ROWS
 from .registry import query, r, rc, rounded
 from .series import CLASS_SQL, SPLIT_SQL, gaps_sql, long_runs, runs_sql, split_f2
@@ -63,10 +64,10 @@ def per_column(test: str, cols, scale="* 100") -> str:
         ORDER BY missing_pct, column_name""",
 )
 def _(t):
-    legs = t.f2_leg
-    high = audit.missing_ratio(legs, WX)
-    coded = audit.missing_ratio(legs, WX, limit=9999.0, exact=True).withColumnRenamed("missing_pct", "coded_pct")
-    return rounded(high.join(coded, "column_name"), ["missing_pct", "coded_pct"]).orderBy("missing_pct", "column_name")
+    return rounded(audit.missing_ratio(t.f2_leg, WX), ["missing_pct", "coded_pct"]).orderBy("missing_pct", "column_name")
+
+
+REGISTER = ["ship_id", "ship_type", *REGISTER_NUMERIC, "date_built_year", "label"]
 
 
 @query(
@@ -76,12 +77,12 @@ def _(t):
     + " AS null_share FROM ("
     + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_null, count(*) AS n FROM f3_register"
-        for c in ["length", "depth", "power_at_mcr"]
+        for c in REGISTER
     )
     + ")",
 )
 def _(t):
-    return rounded(audit.null_counts(t.f3_register, ["length", "depth", "power_at_mcr"]), ["null_share"])
+    return rounded(audit.null_counts(t.f3_register, REGISTER), ["null_share"])
 
 
 @query(
@@ -107,9 +108,6 @@ def _(t):
     return rounded(audit.ratio_per_ship(t.f2_leg, lost), ["lost_pct"]).orderBy(F.col("lost_pct").desc(), "ship_id")
 
 
-DIRS = ["course", "sea_dir", "swl_dir"]
-
-
 @query(
     "dir_min_max",
     " UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c}) AS low, max({c}) AS high FROM f2_leg" for c in DIRS),
@@ -221,12 +219,11 @@ def _(t):
 )
 def _(t):
     legs = t.f2_leg
-    once = stage(clean.keep_first(legs, ["ship_id", "client", "utc"]), "audit")
-    whole = clean.missing_ge(once, WX)
-    directed = clean.dir_positive(whole)
-    ranged = clean.rated_range(clean.join_ratings(directed, t.f3_register, ["draft", "speed_at_mcr", "rpm_at_mcr"]))
+    once = clean.keep_first(legs, ["ship_id", "client", "utc"])
+    rated_once = clean.join_ratings(once, t.f3_register, ["draft", "speed_at_mcr", "rpm_at_mcr"])
     return audit.stage_audit(
-        [("loaded", legs), ("dedup", once), ("missing", whole), ("directions", directed), ("ratings", ranged)]
+        [("loaded", legs), ("dedup", rated_once)],
+        [("missing", clean.no_missing_ge(WX)), ("directions", clean.is_dir_positive()), ("ratings", clean.is_rated())],
     )
 
 

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions.performance import cube
 from ..operators import classes, clean, evaluate, outliers, ridge, scaling
-from ..plans.features import feature_table, outlier_features
-from ..schema import FEATURE_SETS
+from ..plans.features import add_components, add_ratios, feature_table, legacy_features, outlier_features
+from ..schema import FEATURE_SETS, SHIP_FEATURES
 from ..session import stage
 from .filters import ROW, ROWS, rated
-from .physics import CRNT_L, ID, IDS, KW, RATED_F2
+from .physics import CRNT_L, FEATURE_SQL, ID, IDS, KW, LEGACY_SQL, RATED_F2
 from .registry import query, r, rc, rounded
 from .series import SPLIT_SQL, split_f2
 
-ROWID = "row_number() OVER () AS rid"
+ROWID = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS rid"
 
 
 def knn_sql(points: str, cols: list[str]) -> str:
@@ -95,11 +95,25 @@ def _(t):
     return scored.select(*ID, "ship_id", rc("outlier_score", 4).alias("outlier_score"))
 
 
+def all_classes(t):
+    clean_register = clean.register_clean(t.f3_register.drop("label"))
+    both = [classes.ship_classes(clean_register, kind, k=5) for kind in ("BULK CARRIER", "CONTAINER SHIP")]
+    return both[0].unionByName(both[1])
+
+
 @query("ship_classes")
 def _(t):
-    clean_register = clean.register_clean(t.f3_register.drop("label"))
-    both = [classes.ship_classes(clean_register, kind, k=5, restarts=3) for kind in ("BULK CARRIER", "CONTAINER SHIP")]
-    return both[0].unionByName(both[1]).select("ship_id", "ship_type", "dwt", "gt", "label")
+    return all_classes(t).select("ship_id", "ship_type", "dwt", "gt", "label", "n_classes")
+
+
+@query(
+    "class_fit",
+    """SELECT ship_type, count(*) AS n_ships, CAST(0 AS BIGINT) AS n_misplaced FROM f3_register
+       WHERE power_at_mcr IS NOT NULL AND depth > 0 GROUP BY ship_type""",
+)
+def _(t):
+    """Every complete ship has a class, and none is nearer to the mean of another one."""
+    return classes.misplaced(all_classes(t))
 
 
 SCALED = ["draft_aft", "sig_ht", "sea_ht", "wind_v", "crnt_v"]
@@ -282,20 +296,26 @@ def _(t):
     return rounded(cubed.select(*ROW, "rpm_3", "rpm_norm_3"), ["rpm_3", "rpm_norm_3"])
 
 
-@query(
-    "feature_sets",
-    """SELECT 'features' AS feature_set, 18 AS n_cols, count(*) AS n_complete FROM f2_leg UNION ALL
-       SELECT 'all_features', 27, count(power_at_mcr) FROM f2_leg
-         LEFT JOIN (SELECT ship_id, power_at_mcr FROM f3_register) USING (ship_id)""",
-)
-def _(t):
-    """Row counts of every named set that the fixture's feature table can serve."""
-    table = feature_table(t.f2_leg, t.f3_register, keep=[*ROW, "client"])
-    wide = table.join(t.f3_register.drop("ship_type", "label"), "ship_id", "left")
-    parts = None
+def _sets_sql() -> str:
+    parts = []
     for name, cols in FEATURE_SETS.items():
-        if set(cols) <= set(wide.columns):
-            complete = wide.select(*cols).na.drop().select(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("n_cols"))
-            one = complete.groupBy("feature_set", "n_cols").agg(F.count(F.lit(1)).alias("n_complete"))
-            parts = one if parts is None else parts.unionByName(one)
-    return parts
+        full = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+        parts.append(f"SELECT '{name}' AS feature_set, {len(cols)} AS n_cols, count(*) FILTER (WHERE {full}) AS n_complete FROM w")
+    made = {**FEATURE_SQL, **LEGACY_SQL}
+    made["trim"] = made.pop("trim_m")
+    made = {c: sql for c, sql in made.items() if c != sql}
+    cols = ", ".join(f"{sql} AS {c}" for c, sql in made.items())
+    ship = ", ".join(dict.fromkeys(["ship_id", *SHIP_FEATURES, "date_built_year"]))
+    rows = f"(SELECT * FROM f2_leg LEFT JOIN (SELECT {ship} FROM f3_register) USING (ship_id))"
+    return f"WITH w AS (SELECT *, {cols} FROM {rows}) " + " UNION ALL ".join(parts)
+
+
+@query("feature_sets", _sets_sql())
+def _(t):
+    """Rows that have every column of each named set; one pass for all sets."""
+    joined = t.f2_leg.join(t.f3_register.drop("ship_type", "label"), "ship_id", "left")
+    table = add_ratios(add_components(legacy_features(joined)))
+    whole = {name: F.count_if(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in cols))) for name, cols in FEATURE_SETS.items()}
+    one = table.agg(*[n.alias(name) for name, n in whole.items()])
+    sets = [F.struct(F.lit(k).alias("feature_set"), F.lit(len(v)).alias("n_cols"), F.col(k).alias("n_complete")) for k, v in FEATURE_SETS.items()]
+    return one.select(F.inline(F.array(*sets)))

@@ -86,14 +86,15 @@ def _(t):
     return clean.missing_ge(t.f2_leg, WX).select(*ROW, "wind_u", "crnt_u")
 
 
+DIRS = ["course", "pri_dir", "sea_dir", "sec_dir", "swl_dir"]
+
+
 @query(
     "dir_nonneg_all",
-    f"SELECT {ROWS}, course, sea_dir, swl_dir FROM f2_leg WHERE course >= 0 AND sea_dir >= 0 AND swl_dir >= 0",
+    f"SELECT {ROWS}, {', '.join(DIRS)} FROM f2_leg WHERE " + " AND ".join(f"{c} >= 0" for c in DIRS),
 )
 def _(t):
-    return clean.dir_nonneg_all(t.f2_leg, ["course", "sea_dir", "swl_dir"]).select(
-        *ROW, "course", "sea_dir", "swl_dir"
-    )
+    return clean.dir_nonneg_all(t.f2_leg, DIRS).select(*ROW, *DIRS)
 
 
 @query("dir_positive", f"SELECT {ROWS}, sea_dir, swl_dir FROM f2_leg WHERE sea_dir > 0 AND swl_dir > 0")

@@ -113,21 +113,25 @@ def _(t):
     return t.f3_register.select("ship_id", "ship_type").join(sizes, "ship_id", "left")
 
 
-GRID_AXES = {"rpm": 4, "draft_aft": 2, "og_speed": 2, "sea_ht": 2, "swl_ht": 2, "wind_v": 4, "crnt_v": 2}
+# Steps per axis, 20 million points.
+GRID_AXES = {"rpm": 10, "draft_aft": 10, "og_speed": 10, "sea_ht": 10, "swl_ht": 10, "wind_v": 20, "crnt_v": 10}
 
 
 def _grid_sql() -> str:
     ends = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in GRID_AXES)
     axes = " ".join(f"CROSS JOIN (SELECT unnest(range({n})) AS i_{c})" for c, n in GRID_AXES.items())
-    cols = ", ".join(
-        f"{r(f'lo_{c} + (hi_{c} - lo_{c}) * i_{c} / CAST({n - 1} AS DOUBLE)')} AS {c}" for c, n in GRID_AXES.items()
-    )
-    return f"WITH e AS (SELECT ship_id, {ends} FROM f2_leg GROUP BY ship_id) SELECT ship_id, {cols} FROM e {axes}"
+    value = {c: f"lo_{c} + (hi_{c} - lo_{c}) * i_{c} / CAST({n - 1} AS DOUBLE)" for c, n in GRID_AXES.items()}
+    means = ", ".join(f"{r(f'avg({v})')} AS {c}" for c, v in value.items())
+    return f"""WITH e AS (SELECT {ends} FROM f2_leg)
+        SELECT CAST(i_rpm AS INTEGER) AS i_rpm, CAST(i_wind_v AS INTEGER) AS i_wind_v, count(*) AS n_points, {means}
+        FROM e {axes} GROUP BY i_rpm, i_wind_v"""
 
 
 @query("scenario_grid", _grid_sql())
 def _(t):
-    return rounded(ridge.scenario_grid(t.f2_leg, GRID_AXES, ["ship_id"]), list(GRID_AXES))
+    grid = ridge.scenario_grid(t.f2_leg, GRID_AXES)
+    means = [rc(F.avg(c)).alias(c) for c in GRID_AXES]
+    return grid.groupBy("i_rpm", "i_wind_v").agg(F.count(F.lit(1)).alias("n_points"), *means)
 
 
 @query(

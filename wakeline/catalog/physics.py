@@ -15,6 +15,8 @@ IDS = ", ".join(ID)
 PI2 = "2 * pi()"
 COURSE = f"(course / 360.0E0 * ({PI2}))"
 SEA = f"(sea_dir / 360.0E0 * ({PI2}))"
+PRI = f"(pri_dir / 360.0E0 * ({PI2}))"
+SEC = f"(sec_dir / 360.0E0 * ({PI2}))"
 SWL = f"(swl_dir / 360.0E0 * ({PI2}))"
 KN = "(3600.0E0 / 1852.0E0)"
 KW = "(power_at_mcr * 0.745699872E0)"
@@ -170,7 +172,7 @@ leg_query(
     joined=True,
 )
 
-_FEATURE_SQL = {
+FEATURE_SQL = {
     "draft_aft": "draft_aft", "draft_fore": "draft_fore", "sig_ht": "sig_ht",
     "crnt_L": CRNT_L, "crnt_T": f"{KN} * {tr('crnt_u', 'crnt_v')}",
     "wind_L": f"{KN} * {lg('wind_u', 'wind_v')}", "wind_T": f"{KN} * {tr('wind_u', 'wind_v')}",
@@ -188,16 +190,18 @@ _FEATURE_SQL = {
 
 @query(
     "feature_table",
-    f"SELECT {ROWS}, client, {', '.join(f'{r(sql)} AS {n}' for n, sql in _FEATURE_SQL.items())} FROM {RATED_F2}",
+    f"SELECT {ROWS}, client, {', '.join(f'{r(sql)} AS {n}' for n, sql in FEATURE_SQL.items())} FROM {RATED_F2}",
 )
 def _(t):
     table = feature_table(t.f2_leg, t.f3_register, keep=[*ROW, "client"])
     return rounded(table, FEATURES + TARGETS)
 
 
-_LEGACY_SQL = {
+LEGACY_SQL = {
     "crnt_lg": f"crnt_u * cos({COURSE}) + crnt_v * sin({COURSE})",
     "wind_lg": f"wind_u * cos({COURSE}) + wind_v * sin({COURSE})",
+    "pri_lg": lgm("pri_ht", PRI), "pri_tr": f"abs({trm('pri_ht', PRI)})",
+    "sec_lg": lgm("sec_ht", SEC), "sec_tr": f"abs({trm('sec_ht', SEC)})",
     "sea_lg": lgm("sea_ht", SEA), "sea_tr": f"abs({trm('sea_ht', SEA)})",
     "swl_lg": lgm("swl_ht", SWL), "swl_tr": f"abs({trm('swl_ht', SWL)})",
     "trim_m": "draft_fore - draft_aft", "draft_mean": "(draft_fore + draft_aft) / 2",
@@ -207,11 +211,11 @@ _LEGACY_SQL = {
 
 @query(
     "features_legacy",
-    f"SELECT {ROWS}, {', '.join(f'{r(sql)} AS {n}' for n, sql in _LEGACY_SQL.items())} FROM {RATED_F2}",
+    f"SELECT {ROWS}, {', '.join(f'{r(sql)} AS {n}' for n, sql in LEGACY_SQL.items())} FROM {RATED_F2}",
 )
 def _(t):
-    table = legacy_features(rated(t), waves=("sea", "swl")).withColumnRenamed("trim", "trim_m")
-    return rounded(table.select(*ROW, *_LEGACY_SQL), list(_LEGACY_SQL))
+    table = legacy_features(rated(t)).withColumnRenamed("trim", "trim_m")
+    return rounded(table.select(*ROW, *LEGACY_SQL), list(LEGACY_SQL))
 
 
 @query(

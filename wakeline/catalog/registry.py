@@ -26,6 +26,9 @@ VIEWS: dict[str, str] = {
           CAST((l_orderkey * 13) % 400 - 20 AS DOUBLE) AS sea_dir, l_discount * 60 AS sea_ht,
           4 + l_tax * 100 AS sea_per, l_discount * 40 + l_tax * 10 AS sig_ht,
           CAST((l_partkey * 17) % 380 - 10 AS DOUBLE) AS swl_dir, l_tax * 50 AS swl_ht, 6 + l_discount * 50 AS swl_per,
+          CAST((l_partkey * 23) % 370 - 5 AS DOUBLE) AS pri_dir, l_discount * 50 AS pri_ht, 5 + l_tax * 80 AS pri_per,
+          CAST((l_orderkey * 29) % 390 - 15 AS DOUBLE) AS sec_dir, l_tax * 30 AS sec_ht, 3 + l_discount * 40 AS sec_per,
+          CAST(l_partkey % 120 - 60 AS DOUBLE) AS lat, CAST(l_orderkey % 360 - 180 AS DOUBLE) AS lon,
           CAST(8 + l_linenumber AS DOUBLE) AS draft_aft, CAST(7 + l_linenumber AS DOUBLE) AS draft_fore
         FROM lineitem""",
     "f3_register": """
@@ -37,7 +40,7 @@ VIEWS: dict[str, str] = {
           CAST(15000 + (s_suppkey * 613) % 80000 AS DOUBLE) AS gt,
           CASE WHEN s_suppkey % 23 = 0 THEN NULL ELSE CAST(8000 + (s_suppkey * 389) % 30000 AS DOUBLE) END AS power_at_mcr,
           CAST(14 + s_suppkey % 6 AS DOUBLE) AS speed_at_mcr, CAST(85 + s_suppkey % 30 AS DOUBLE) AS rpm_at_mcr,
-          CAST(s_suppkey % 5 AS INT) AS label FROM supplier""",
+          CAST(1985 + s_suppkey % 35 AS DOUBLE) AS date_built_year, CAST(s_suppkey % 5 AS INT) AS label FROM supplier""",
     "f4_voyage": """
         SELECT o_orderkey % (SELECT count(*) FROM supplier) AS ship_id, o_orderdate AS dep_utc,
           o_orderdate + (1 + o_orderkey % 10) * INTERVAL '24' HOUR AS arr_utc FROM orders""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators import clean, evaluate, runs
@@ -13,7 +11,6 @@ from ..sources import files
 from .registry import query, r, rc, rounded
 from .series import ALL_F2, runs_sql
 
-LEG = ["course", "crnt_u", "crnt_v", "foc_me", "og_speed", "rpm", "sea_ht", "wind_u", "wind_v", "client", "utc"]
 
 
 def staged_legs(t, corrected: bool = False) -> str:
@@ -26,7 +23,7 @@ def staged_legs(t, corrected: bool = False) -> str:
         F.col("ship_id").alias("ship"),
         (F.floor(F.year("utc") / 10) * 10).alias("decade"),
         F.lit(1).alias("part"),
-        *[c for c in LEG if c not in ("utc", "rpm")],
+        *[c for c in LEG_SCHEMA.fieldNames() if c in legs.columns and c not in ("utc", "rpm")],
         F.col("rpm").cast("string").alias("rpm"),
         F.date_format("utc", "yyyy-MM-dd HH:mm:ss").alias("utc"),
     )
@@ -55,22 +52,30 @@ def _(t):
     return leg_out(read_legs(t, [staged_legs(t)]))
 
 
-@query("leg_schema", f"SELECT ship_id, client, {r('avg(foc_me)')} AS foc_me, {r('avg(CAST(rpm AS FLOAT))', 3)} AS rpm FROM f2_leg GROUP BY ship_id, client")
+ABSENT = ["deadweight", "foc_total", "load", "loading_condition", "point_type", "power", "sst", "tw_speed"]
+_COUNTS = ", ".join(f"{'0' if c in ABSENT else f'count({c})'} AS n_{c}" for c in LEG_SCHEMA.fieldNames())
+
+
+@query(
+    "leg_schema",
+    f"""SELECT ship_id, {r('avg(foc_me)')} AS foc_me, {r('avg(CAST(rpm AS FLOAT))', 3)} AS avg_rpm, {_COUNTS}
+        FROM f2_leg GROUP BY ship_id""",
+)
 def _(t):
+    """All declared columns: how many rows have each; columns no file has are null."""
     legs = read_legs(t, [staged_legs(t)])
-    assert set(LEG_SCHEMA.fieldNames()) < set(legs.columns)
-    typed, _rejected = clean.safe_numeric_cast(legs, ["rpm"])
-    return typed.groupBy("ship_id", "client").agg(
-        rc(F.avg("foc_me")).alias("foc_me"), rc(F.avg("rpm"), 3).alias("rpm")
-    )
+    typed, _rejected = clean.safe_numeric_cast(legs.select("ship_id", *LEG_SCHEMA.fieldNames()), ["rpm"])
+    counts = [F.count(c).cast("int" if c in ABSENT else "long").alias(f"n_{c}") for c in LEG_SCHEMA.fieldNames()]
+    return typed.groupBy("ship_id").agg(rc(F.avg("foc_me")).alias("foc_me"), rc(F.avg("rpm"), 3).alias("avg_rpm"), *counts)
 
 
-@query("scan_draftlist_json", "SELECT ship_id, dep_utc, arr_utc FROM f4_voyage")
+@query("scan_draftlist_json", "SELECT ship_id, dep_utc, arr_utc, 'c' || CAST(ship_id % 7 AS VARCHAR) AS cargo, ship_id % 11 AS draft_dm FROM f4_voyage")
 def _(t):
     root = stage_path(t.spark, "draftlists")
-    files.write_json_tree(t.f4_voyage.withColumnRenamed("ship_id", "ship").repartition("ship"), root, ["ship"])
+    rows = t.f4_voyage.withColumn("cargo", F.expr("'c' || ship_id % 7")).withColumn("draft_dm", F.expr("ship_id % 11"))
+    files.write_json_tree(rows.withColumnRenamed("ship_id", "ship").repartition("ship"), root, ["ship"])
     read = files.scan_draftlists(t.spark, [root], file_glob="*.json", multi_line=False)
-    return read.select("ship_id", "dep_utc", "arr_utc")
+    return read.drop("source_rank")
 
 
 @query(
@@ -119,22 +124,25 @@ def _(t):
     return t.spark.read.schema("ship_id long, record_index long, type string").option("header", True).csv(path)
 
 
-@query("scan_ship_register", "SELECT ship_id, ship_type, length, dwt, power_at_mcr FROM f3_register")
+@query("scan_ship_register", "SELECT ship_id, ship_type, length, dwt, power_at_mcr, date_built_year FROM f3_register")
 def _(t):
     path = stage_path(t.spark, "register-csv")
     raw = t.f3_register.withColumnsRenamed({"ship_id": "wni_ship_num", "power_at_mcr": "bhp"})
     files.sink_csv(raw, path)
     text = t.spark.read.option("header", True).csv(path)
-    return files.scan_register(text).select("ship_id", "ship_type", "length", "dwt", "power_at_mcr")
+    return files.scan_register(text).select("ship_id", "ship_type", "length", "dwt", "power_at_mcr", "date_built_year")
 
 
-@query("scan_register_xml", "SELECT ship_id, ship_type, length, depth, power_at_mcr, rpm_at_mcr FROM f3_register")
+@query("scan_register_xml", """SELECT ship_id, ship_type, length, depth, power_at_mcr, rpm_at_mcr, CAST(CAST(date_built_year AS INTEGER) AS VARCHAR) || '-05-01' AS date_built,
+         date_built_year, CAST(ship_id * 10 AS DOUBLE) AS teu FROM f3_register""")
 def _(t):
     path = stage_path(t.spark, "register-xml")
-    raw = t.f3_register.drop("label").withColumnRenamed("power_at_mcr", "bhp")
+    raw = t.f3_register.drop("label").withColumnsRenamed({"power_at_mcr": "bhp", "ship_id": "wni_ship_num"})
+    raw = raw.withColumn("date_built", F.concat(F.col("date_built_year").cast("int"), F.lit("-05-01"))).drop("date_built_year")
+    raw = raw.withColumn("teu", F.col("wni_ship_num") * 10)
     raw.write.format("xml").option("rowTag", "ship").option("rootTag", "ships").save(path)
     read = files.scan_register_xml(t.spark, path)
-    return read.select("ship_id", "ship_type", "length", "depth", "power_at_mcr", "rpm_at_mcr")
+    return read.select("ship_id", "ship_type", "length", "depth", "power_at_mcr", "rpm_at_mcr", "date_built", "date_built_year", "teu")
 
 
 @query(
@@ -157,10 +165,8 @@ def _(t):
     labelled = t.f5_prediction.join(t.f3_register.select("ship_id", "label"), "ship_id")
     labelled.write.partitionBy("label").parquet(root)
     schema = labelled.drop("label").schema
-    parts = [
-        t.spark.read.schema(schema).parquet(f"{root}/label={label}").withColumn("label", F.lit(label)) for label in range(5)
-    ]
-    together = reduce(DataFrame.unionByName, parts)
+    # the classes are whatever folders there are; rows without one stay
+    together = t.spark.read.schema(T.StructType([*schema.fields, T.StructField("label", T.IntegerType())])).parquet(root)
     return together.select("ship_id", "record_index", "utc", "label", rc("pred_tw_speed").alias("pred")).orderBy(
         "ship_id", "record_index", "utc"
     )

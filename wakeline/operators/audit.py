@@ -35,9 +35,18 @@ def share_per_column(df: DataFrame, tests: dict[str, Column], out: str = "share"
     return one.unpivot([], list(tests), "column_name", out)
 
 
-def missing_ratio(df: DataFrame, cols: list[str], limit: float = 9000.0, exact: bool = False) -> DataFrame:
-    tests = {c: (F.col(c) == limit) if exact else (F.col(c) >= limit) for c in cols}
-    return share_per_column(df, tests, "missing_pct")
+def missing_ratio(df: DataFrame, cols: list[str], limit: float = 9000.0, code: float = 9999.0) -> DataFrame:
+    """Per column, in one pass: percentage of rows at or above ``limit``, and of rows with the exact ``code``."""
+    n = F.count(F.lit(1))
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            (F.count_if(F.col(c) >= limit) / n * 100.0).alias("missing_pct"),
+            (F.count_if(F.col(c) == code) / n * 100.0).alias("coded_pct"),
+        )
+        for c in cols
+    ]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -124,13 +133,24 @@ def loss_audit(df: DataFrame, lost: Column) -> DataFrame:
     )
 
 
-def stage_audit(steps: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Rows before and after each step. ``steps`` starts with the input."""
-    counts = [df.select(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("step_no"), F.lit(name).alias("step"), "n")
-              for i, (name, df) in enumerate(steps)]
-    tall = counts[0]
-    for c in counts[1:]:
-        tall = tall.unionByName(c)
+def stage_audit(steps: list[tuple[str, DataFrame]], rules: list[tuple[str, Column]]) -> DataFrame:
+    """Rows before and after each step.
+
+    ``steps`` starts with the input and is counted table by table; ``rules`` are tests on the rows of the last
+    step, each applied to the survivors of the ones before and all counted in one pass over it.
+    """
+    counts = [df.agg(F.array(F.count(F.lit(1))).alias("n")) for _, df in steps[:-1]]
+    passed, tests = F.lit(True), []
+    for _, rule in rules:
+        passed = passed & F.coalesce(rule, F.lit(False))
+        tests.append(F.count_if(passed))
+    counts.append(steps[-1][1].agg(F.array(F.count(F.lit(1)), *tests).alias("n")))
+    names = [name for name, _ in steps] + [name for name, _ in rules]
+    tall = None
+    for first, one in enumerate(counts):
+        part = one.select(F.posexplode("n").alias("i", "n")).select((F.col("i") + first).alias("step_no"), "n")
+        tall = part if tall is None else tall.unionByName(part)
+    tall = tall.withColumn("step", F.element_at(F.array(*map(F.lit, names)), F.col("step_no") + 1))
     # a handful of rows, one per step
     before = tall.select((F.col("step_no") + 1).alias("step_no"), F.col("n").alias("rows_in"))
     return tall.join(before, "step_no").select("step_no", "step", "rows_in", F.col("n").alias("rows_out"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import WEATHER
+from ..schema import REGISTER_NUMERIC, WEATHER
 from ..session import stage
 from .quantiles import grouped_quantiles
 from .sized import all_of, any_of, attach, null_safe_join
@@ -32,15 +32,15 @@ def safe_numeric_cast(df: DataFrame, cols: list[str], to: str = "float") -> tupl
 def keep_first(df: DataFrame, keys: list[str], rank: list[str] | None = None) -> DataFrame:
     """One row per key: the smallest by ``rank``, then by the remaining columns.
 
-    An aggregate, not a window: copies of a key collapse before the shuffle, so a key
-    with any number of copies costs its reducer one row per map task.
+    The rank filter runs before the shuffle too, so a key with any number of copies costs its
+    reducer one row per map task.
     """
     rank = rank or []
     rest = rank + [c for c in df.columns if c not in keys and c not in rank]
     if not rest:
         return df.select(*keys).distinct()
-    first = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first"))
-    return first.select(*keys, "_first.*").select(*df.columns)
+    order = Window.partitionBy(*keys).orderBy(*rest)
+    return df.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
 def duplicate_rows(df: DataFrame, keys: list[str], rank: list[str] | None = None) -> DataFrame:
@@ -71,21 +71,29 @@ def missing_eq(df: DataFrame, cols: list[str] = WEATHER, code: float = MISSING_C
     return df.where(~any_of([_true(F.col(c) == code) for c in cols]))
 
 
+def no_missing_ge(cols: list[str] = WEATHER, limit: float = MISSING_FROM) -> Column:
+    return ~any_of([_true(F.col(c) >= limit) for c in cols])
+
+
 def missing_ge(df: DataFrame, cols: list[str] = WEATHER, limit: float = MISSING_FROM) -> DataFrame:
-    return df.where(~any_of([_true(F.col(c) >= limit) for c in cols]))
+    return df.where(no_missing_ge(cols, limit))
 
 
 def dir_nonneg_all(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.where(all_of([F.col(c) >= 0 for c in cols]))
 
 
+def is_dir_positive(cols: list[str] = ("sea_dir", "swl_dir")) -> Column:
+    return all_of([F.col(c) > 0 for c in cols])
+
+
 def dir_positive(df: DataFrame, cols: list[str] = ("sea_dir", "swl_dir")) -> DataFrame:
-    return df.where(all_of([F.col(c) > 0 for c in cols]))
+    return df.where(is_dir_positive(cols))
 
 
-def rated_range(df: DataFrame) -> DataFrame:
-    """Rows inside the ship's ratings; rows of ships without ratings drop out."""
-    return df.where(
+def is_rated() -> Column:
+    """Inside the ship's ratings; NULL where the ship has none."""
+    return (
         (F.col("og_speed") > 0)
         & (F.col("og_speed") < F.col("speed_at_mcr"))
         & (F.col("rpm") > 0)
@@ -96,6 +104,11 @@ def rated_range(df: DataFrame) -> DataFrame:
     )
 
 
+def rated_range(df: DataFrame) -> DataFrame:
+    """Rows inside the ship's ratings; rows of ships without ratings drop out."""
+    return df.where(is_rated())
+
+
 def violation_counts(df: DataFrame) -> DataFrame:
     """Rows outside each rating. Not the complement of ``rated_range``: a value equal to its
     rating is no violation here, and negative drafts are."""
@@ -160,8 +173,9 @@ TRIM_BOTH = [("og_speed", 0.02, 0.98), ("foc_me", 0.02, 0.98), ("rpm", 0.02, 0.9
 
 
 def register_clean(register: DataFrame) -> DataFrame:
-    """Complete register rows with positive depth and power."""
-    return register.na.drop().where("depth > 0 AND power_at_mcr > 0")
+    """Register rows complete in their ids and ratings, with positive depth and power; other columns may be null."""
+    needed = [c for c in ["ship_id", "ship_type", *REGISTER_NUMERIC] if c in register.columns]
+    return register.na.drop(subset=needed).where("depth > 0 AND power_at_mcr > 0")
 
 
 def join_ratings(df: DataFrame, register: DataFrame, cols: list[str], how: str = "left") -> DataFrame:

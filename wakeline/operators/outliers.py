@@ -344,7 +344,7 @@ def outlier_audit(df: DataFrame, score: str = "outlier_score", levels: tuple[flo
 
 
 def pca_outlier(df: DataFrame, cols: list[str], components: int = 2, out: str = "outlier_score") -> DataFrame:
-    """Distance of each standardised row to the plane of the leading principal components."""
+    """Distance of each standardised row to the plane of the leading principal components; NULL where a column is."""
     from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -359,4 +359,6 @@ def pca_outlier(df: DataFrame, cols: list[str], components: int = 2, out: str =
     # the components are orthonormal, so the squared distance is |x|^2 - |y|^2
     total = sum((F.col(f"_z_{c}") * F.col(f"_z_{c}") for c in cols), F.lit(0.0))
     kept = sum((F.col("_ya")[i] * F.col("_ya")[i] for i in range(components)), F.lit(0.0))
-    return scored.withColumn(out, F.sqrt(F.greatest(total - kept, F.lit(0.0)))).select(*df.columns, out)
+    scored = scored.withColumn(out, F.sqrt(F.greatest(total - kept, F.lit(0.0)))).select(*df.columns, out)
+    lacking = df.where(" OR ".join(f"`{c}` IS NULL" for c in cols)).withColumn(out, F.lit(None).cast("double"))
+    return scored.unionByName(lacking)

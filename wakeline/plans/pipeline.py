@@ -41,9 +41,10 @@ def clean_telemetry(legs: DataFrame, register: DataFrame, rules: CleaningRules =
 
 
 def drop_outliers(legs: DataFrame, register: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """Rows that are no outliers. Rows without a score (no power rating, very short history) are none and stay."""
     base = stage(outlier_features(legs, register), "outlier-in")
     scored = stage(outliers.knn_score(base, ["norm_rpm3", "norm_foc_me", "norm_tw_speed"]), "outlier-scores")
-    kept = outliers.outlier_label(scored, contamination=rules.contamination).where("outlier_label = 0")
+    kept = outliers.outlier_label(scored, contamination=rules.contamination).where("coalesce(outlier_label, 0) = 0")
     return clean.min_history(stage(kept.select(*legs.columns), "outlier-out"), rules.min_rows)
 
 

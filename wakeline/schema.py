@@ -23,12 +23,11 @@ LEG_SCHEMA = T.StructType(
         )
     ]
 )
-DRAFTLIST_SCHEMA = T.StructType(
-    [T.StructField("dep_utc", T.TimestampNTZType()), T.StructField("arr_utc", T.TimestampNTZType())]
-)
 REGISTER_NUMERIC = [
     "length", "breadth", "depth", "draft", "dwt", "gt", "power_at_mcr", "speed_at_mcr", "rpm_at_mcr",
 ]
+# read where present, not needed for a complete register row
+REGISTER_OPTIONAL = ["date_built_year", "disp", "teu"]
 SIZE_COLUMNS = ["length", "breadth", "depth", "draft", "dwt", "gt", "power_at_mcr"]
 
 # Column groups of a telemetry row.

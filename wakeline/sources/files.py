@@ -6,13 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..schema import DRAFTLIST_SCHEMA, LEG_FLOAT, LEG_SCHEMA, REGISTER_NUMERIC
+from ..schema import LEG_FLOAT, LEG_SCHEMA, REGISTER_NUMERIC, REGISTER_OPTIONAL
 
+# Elements of a ship document.
 REGISTER_XML_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in [
-        "ship_id", "ship_type", "length", "breadth", "depth", "draft", "dwt", "gt", "bhp", "speed_at_mcr", "rpm_at_mcr",
+        "wni_ship_num", "ship_type", "length", "breadth", "depth", "draft", "dwt", "gt", "bhp", "speed_at_mcr",
+        "rpm_at_mcr", "date_built", "teu",
     ]]
 )
+RENAMES = {"wni_ship_num": "ship_id", "bhp": "power_at_mcr"}
 
 
 def path_id(level: int) -> Column:
@@ -25,17 +28,20 @@ def path_id(level: int) -> Column:
 
 
 def scan_json_tree(
-    spark: SparkSession, root: str, schema: T.StructType, file_glob: str, id_level: int, multi_line: bool
+    spark: SparkSession, root: str, schema: T.StructType | None, file_glob: str, id_level: int, multi_line: bool
 ) -> DataFrame:
-    """Every matching file below ``root``; ``ship_id`` comes from the directory name."""
+    """Every matching file below ``root``; ``ship_id`` comes from the directory name.
+
+    Without a schema all columns found in the files are read, with the types they have there.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
     raw = (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", True)
+        reader.option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_glob)
         .option("multiLine", multi_line)
         .json(root)
     )
-    return raw.select(*[F.col(c) for c in schema.fieldNames()], path_id(id_level).alias("ship_id"))
+    return raw.select(*[F.col(f"`{c}`") for c in raw.columns if c != "ship_id"], path_id(id_level).alias("ship_id"))
 
 
 def scan_legs(
@@ -63,14 +69,16 @@ def scan_draftlists(
     roots: list[str],
     file_glob: str = "draftlist.json",
     multi_line: bool = True,
-    schema: T.StructType = DRAFTLIST_SCHEMA,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Voyage lists: <root>/<ship>/draftlist.json."""
+    """Voyage lists: <root>/<ship>/draftlist.json, all columns; dep_utc and arr_utc as times."""
     parts = [
         scan_json_tree(spark, root, schema, file_glob, 2, multi_line).withColumn("source_rank", F.lit(rank))
         for rank, root in enumerate(roots)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    voyages = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    times = [c for c in ("dep_utc", "arr_utc") if c in voyages.columns]
+    return voyages.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in times})
 
 
 def write_json_tree(df: DataFrame, root: str, dirs: list[str]) -> None:
@@ -81,16 +89,21 @@ def write_json_tree(df: DataFrame, root: str, dirs: list[str]) -> None:
     df.write.partitionBy(*dirs).json(root)
 
 
-def columnar_checkpoint(df: DataFrame, path: str, buckets: int = 16, key: str = "ship_id") -> None:
-    """Parquet partitioned by a hash bucket of the ship, the stage format of concatenated legs."""
-    df.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))).write.partitionBy("bucket").parquet(path)
+def columnar_checkpoint(df: DataFrame, path: str, buckets: int = 256, key: str = "ship_id") -> None:
+    """Parquet partitioned by a hash bucket of the ship, the stage format of concatenated legs.
+
+    Rows meet by bucket and a random part of it before the write, so a bucket has a few files of even size;
+    the rebalance hint lets adaptive execution split a bucket that one ship fills.
+    """
+    keyed = df.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
+    keyed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
 
 
 def read_columnar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
-def ship_slice(spark: SparkSession, path: str, ship_id: int, buckets: int = 16) -> DataFrame:
+def ship_slice(spark: SparkSession, path: str, ship_id: int, buckets: int = 256) -> DataFrame:
     """One ship of a columnar checkpoint: only its bucket directory is listed and read."""
     bucket = F.pmod(F.hash(F.lit(ship_id).cast("long")), F.lit(buckets))
     return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("ship_id") == ship_id)).drop("bucket")
@@ -113,22 +126,24 @@ def sink_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def scan_register(df: DataFrame) -> DataFrame:
     """Register columns under pipeline names, typed."""
-    renames = {"wni_ship_num": "ship_id", "bhp": "power_at_mcr"}
-    named = df.withColumnsRenamed({k: v for k, v in renames.items() if k in df.columns})
-    numeric = [c for c in REGISTER_NUMERIC if c in named.columns]
+    named = df.withColumnsRenamed({k: v for k, v in RENAMES.items() if k in df.columns})
+    numeric = [c for c in REGISTER_NUMERIC + REGISTER_OPTIONAL if c in named.columns]
     return named.withColumns({"ship_id": F.col("ship_id").cast("long"), **{c: F.col(c).cast("double") for c in numeric}})
 
 
 def scan_register_xml(spark: SparkSession, path: str, row_tag: str = "ship") -> DataFrame:
-    """Ship documents with one child element per field; ``bhp`` becomes ``power_at_mcr``.
+    """Ship documents with one child element per field; ``wni_ship_num`` becomes ``ship_id``, ``bhp`` ``power_at_mcr``.
 
-    Text that is not a number gives NULL.
+    ``date_built`` is kept as text, with its year as ``date_built_year``. Text that is not a number gives NULL.
     """
     raw = spark.read.format("xml").schema(REGISTER_XML_SCHEMA).option("rowTag", row_tag).load(path)
-    named = raw.withColumnRenamed("bhp", "power_at_mcr")
-    numeric = [c for c in REGISTER_NUMERIC if c in named.columns]
+    named = raw.withColumnsRenamed(RENAMES).withColumn(
+        "date_built_year", F.regexp_extract("date_built", "([0-9]{4})", 1)
+    )
+    numeric = [c for c in REGISTER_NUMERIC + REGISTER_OPTIONAL if c in named.columns]
     return named.select(
         F.col("ship_id").try_cast("long").alias("ship_id"),
         "ship_type",
+        "date_built",
         *[F.col(c).try_cast("double").alias(c) for c in numeric],
     )
