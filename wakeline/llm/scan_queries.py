@@ -60,10 +60,4 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        "n_removed",
-        F.size("spans").cast("long").alias("n_spans"),
-        F.when(F.col("kept").isNull(), F.col("sha")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"),
-    )
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
