@@ -189,6 +189,16 @@ def test_register_documents(spark, tmp_path):
     assert got == {1: (180.5, 9000.0), 2: (180.5, None)}
 
 
+def test_register_documents_with_real_tags(spark, tmp_path):
+    write(
+        f"{tmp_path}/7.xml",
+        "<ship><wni_ship_num>7</wni_ship_num><ship_type>BULK CARRIER</ship_type><date_built>2009-05</date_built>"
+        "<bhp>9000</bhp><teu>x</teu></ship>",
+    )
+    row = files.scan_register_xml(spark, str(tmp_path)).first()
+    assert (row.ship_id, row.date_built, row.date_built_year, row.power_at_mcr, row.teu) == (7, "2009-05", 2009.0, 9000.0, None)
+
+
 def test_bucket_pruning(spark, tmp_path, capsys):
     df = spark.range(1000).select((F.col("id") % 50).alias("ship_id"), F.col("id").cast("double").alias("foc_me"))
     files.columnar_checkpoint(df, f"{tmp_path}/legs")

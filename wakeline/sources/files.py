@@ -11,7 +11,7 @@ from ..schema import LEG_FLOAT, LEG_SCHEMA, REGISTER_NUMERIC, REGISTER_OPTIONAL
 # Elements of a ship document.
 REGISTER_XML_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in [
-        "wni_ship_num", "ship_type", "length", "breadth", "depth", "draft", "dwt", "gt", "bhp", "speed_at_mcr",
+        "wni_ship_num", "ship_id", "ship_type", "length", "breadth", "depth", "draft", "dwt", "gt", "bhp", "speed_at_mcr",
         "rpm_at_mcr", "date_built", "teu",
     ]]
 )
@@ -134,10 +134,12 @@ def scan_register(df: DataFrame) -> DataFrame:
 def scan_register_xml(spark: SparkSession, path: str, row_tag: str = "ship") -> DataFrame:
     """Ship documents with one child element per field; ``wni_ship_num`` becomes ``ship_id``, ``bhp`` ``power_at_mcr``.
 
-    ``date_built`` is kept as text, with its year as ``date_built_year``. Text that is not a number gives NULL.
+    A document that has no ``wni_ship_num`` is named by its ``ship_id``. ``date_built`` is kept as text, with its
+    year as ``date_built_year``. Text that is not a number gives NULL.
     """
     raw = spark.read.format("xml").schema(REGISTER_XML_SCHEMA).option("rowTag", row_tag).load(path)
-    named = raw.withColumnsRenamed(RENAMES).withColumn(
+    named = raw.withColumn("wni_ship_num", F.coalesce("wni_ship_num", "ship_id")).drop("ship_id")
+    named = named.withColumnsRenamed(RENAMES).withColumn(
         "date_built_year", F.regexp_extract("date_built", "([0-9]{4})", 1)
     )
     numeric = [c for c in REGISTER_NUMERIC + REGISTER_OPTIONAL if c in named.columns]
