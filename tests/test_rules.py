@@ -143,7 +143,7 @@ def test_classes_partition_ships(spark):
     ]
     df = spark.createDataFrame(rows, "ship_id long, ship_type string, length double, breadth double, depth double, "
                                "draft double, dwt double, gt double, power_at_mcr double")
-    classed = classes.ship_classes(df, "BULK CARRIER", restarts=2)
+    classed = classes.ship_classes(df, restarts=2)
     got = {r.ship_id: r.label for r in classed.collect()}
     assert got == {i: i % 5 for i in range(60)}
     assert [tuple(r) for r in classes.misplaced(classed).collect()] == [("BULK CARRIER", 60, 0)]

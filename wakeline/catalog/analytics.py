@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.performance import cube
-from ..operators import classes, clean, evaluate, outliers, ridge, scaling
-from ..plans.features import add_components, add_ratios, feature_table, legacy_features, outlier_features
-from ..schema import FEATURE_SETS, SHIP_FEATURES
+from ..operators import classes, clean, dense, evaluate, outliers, ridge, scaling
+from ..plans.features import add_components, add_ratios, feature_table, legacy_features, outlier_features, pooled_table
+from ..schema import FEATURE_SETS, FEATURES, SCALED_FEATURES, SHIP_FEATURES
 from ..session import stage
 from .filters import ROW, ROWS, rated
 from .physics import CRNT_L, FEATURE_SQL, ID, IDS, KW, LEGACY_SQL, RATED_F2
@@ -96,9 +96,7 @@ def _(t):
 
 
 def all_classes(t):
-    clean_register = clean.register_clean(t.f3_register.drop("label"))
-    both = [classes.ship_classes(clean_register, kind, k=5) for kind in ("BULK CARRIER", "CONTAINER SHIP")]
-    return both[0].unionByName(both[1])
+    return classes.ship_classes(clean.register_clean(t.f3_register.drop("label")), k=5)
 
 
 @query("ship_classes")
@@ -284,6 +282,105 @@ def _(t):
     return rounded(scored.select("ship_id", "step", "normalized_rpm", "pred"), ["normalized_rpm", "pred"], 4)
 
 
+# the network of the fixture: smaller than the default, as its rows are fewer
+NET = dense.Net(layers=((48, "relu", 0.0), (24, "relu", 0.0)), loss="mae", rate=0.004, rounds=14, patience=5, block_rows=2048)
+POOLED = [*FEATURES, *SHIP_FEATURES]
+
+
+def pooled_rows(t):
+    """Split rows of classified ships with their 27 scaled inputs; ratings as they are under their own names."""
+    table = feature_table(split_f2(t), t.f3_register, keep=[*ROW, "client", "type"])
+    return pooled_table(table, clean.register_clean(t.f3_register))
+
+
+def dense_models(t):
+    rows = stage(pooled_rows(t), "pooled")
+    models, history = dense.fit_dense(rows, POOLED, "normalized_tw_speed", "label", ROW, NET)
+    return rows, models, history
+
+
+@query("dense_baseline")
+def _(t):
+    """Errors of the pooled network per class and split, and the round it was taken from."""
+    rows, models, _ = dense_models(t)
+    scored = dense.predict_dense(rows, models, POOLED, "label", NET, "pred")
+    report = evaluate.metrics(scored, ["label", "type"], "normalized_tw_speed", "pred")
+    return rounded(report.join(models.select(F.col("group").alias("label"), "round"), "label"), evaluate.METRICS, 4)
+
+
+@query("dense_results")
+def _(t):
+    """Predictions of the pooled network in natural units, split by split."""
+    rows, models, _ = dense_models(t)
+    scored = dense.predict_dense(rows, models, POOLED, "label", NET, "pred_normalized_tw_speed").drop(*SHIP_FEATURES)
+    legs = feature_table(t.f2_leg, t.f3_register, keep=ROW).select(*ROW, F.col("crnt_L").alias("crnt_knots"))
+    knots = scored.drop("crnt_L").join(legs, ROW).withColumnRenamed("crnt_knots", "crnt_L")
+    res = evaluate.assemble_results(knots, t.f3_register)
+    cols = ["tw_speed", "pred_tw_speed", "pred_og_speed"]
+    return rounded(res.select(*ROW, "label", "type", *cols), cols, 4)
+
+
+@query("dense_what_if")
+def _(t):
+    """One test row of each ship scored by its class's network over the ship's range of normalised engine speed."""
+    rows, models, _ = dense_models(t)
+    base = clean.keep_first(rows.where("type = 'test'").select("label", *ROW_ORDER, "ship_id", *POOLED), ["ship_id"], ROW_ORDER)
+    grid = ridge.swept(rows, base.select("ship_id", "label", *POOLED), "normalized_rpm")
+    scored = dense.predict_dense(grid, models, POOLED, "label", NET, "pred")
+    return rounded(scored.select("ship_id", "label", "step", "normalized_rpm", "pred"), ["normalized_rpm", "pred"], 4)
+
+
+def _joint_sql() -> str:
+    cols = ["draft_aft", "sig_ht", "sea_ht", "foc_me"]
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    out = ", ".join(f"{r(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END')} AS {c}" for c in cols)
+    return f"WITH {SPLIT_SQL}, st AS (SELECT {stats} FROM split WHERE type = 'train') SELECT {ROWS}, type, {out} FROM split, st"
+
+
+@query("standardize_joint", _joint_sql())
+def _(t):
+    """Features and target scaled together, fitted on the training rows."""
+    typed = stage(split_f2(t).select(*ROW, "type", "draft_aft", "sig_ht", "sea_ht", "foc_me"), "split")
+    out = scaling.standardize_joint(typed, ["draft_aft", "sig_ht", "sea_ht"], "foc_me")
+    return rounded(out, ["draft_aft", "sig_ht", "sea_ht", "foc_me"])
+
+
+def _register_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SHIP_FEATURES)
+    out = ", ".join(f"{r(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END')} AS {c}" for c in SHIP_FEATURES)
+    return f"""WITH k AS (SELECT * FROM f3_register WHERE power_at_mcr IS NOT NULL AND depth > 0),
+        st AS (SELECT label, {stats} FROM k GROUP BY label) SELECT ship_id, label, {out} FROM k JOIN st USING (label)"""
+
+
+@query("standardize_register", _register_sql())
+def _(t):
+    """Register columns scaled over the ships of each class."""
+    ships = clean.register_clean(t.f3_register).select("ship_id", "label", *SHIP_FEATURES)
+    return rounded(scaling.standardize_by(ships, SHIP_FEATURES, ["label"]), SHIP_FEATURES)
+
+
+def _pooled_sql() -> str:
+    cols = [*SCALED_FEATURES, *SHIP_FEATURES]
+    made = ", ".join(f"{FEATURE_SQL[c]} AS {c}" for c in [*FEATURES, "normalized_tw_speed"] if FEATURE_SQL.get(c, c) != c)
+    z = lambda c, s: r(f"(w.{c} - {s}.m_{c}) / CASE WHEN {s}.s_{c} = 0 THEN 1 ELSE {s}.s_{c} END", 5)
+    ship = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SHIP_FEATURES)
+    rows = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALED_FEATURES)
+    return f"""WITH {SPLIT_SQL}, k AS (SELECT * FROM f3_register WHERE power_at_mcr IS NOT NULL AND depth > 0),
+        w AS (SELECT *, {made} FROM (SELECT * FROM split JOIN (SELECT ship_id, label, {", ".join(SHIP_FEATURES)} FROM k) USING (ship_id))),
+        sr AS (SELECT label, {rows} FROM w WHERE type <> 'test' GROUP BY label), ss AS (SELECT label, {ship} FROM k GROUP BY label)
+        SELECT {", ".join("w." + c.strip() for c in ROWS.split(","))}, w.type, w.label,
+          {", ".join(f"{z(c, 'sr' if c in SCALED_FEATURES else 'ss')} AS {c}" for c in cols)},
+          {r("w.normalized_tw_speed", 5)} AS normalized_tw_speed
+        FROM w JOIN sr USING (label) JOIN ss USING (label)"""
+
+
+@query("pooled_features", _pooled_sql())
+def _(t):
+    """The data step of the pooled models: class ships only, three scalings."""
+    cols = [*SCALED_FEATURES, *SHIP_FEATURES, "normalized_tw_speed"]
+    return rounded(pooled_rows(t).select(*ROW, "type", "label", *cols), cols, 5)
+
+
 @query(
     "polynomial_feats",
     f"""SELECT {ROWS}, {r('rpm * rpm * rpm')} AS rpm_3,

@@ -7,19 +7,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..operators import clean, evaluate, runs
 from ..schema import LEG_SCHEMA
 from ..session import stage_path
-from ..sources import files
+from ..sources import files, incremental
 from .registry import query, r, rc, rounded
 from .series import ALL_F2, runs_sql
 
 
-
-def staged_legs(t, corrected: bool = False) -> str:
-    """A telemetry tree <root>/ship=../decade=../part=../*.json in the declared record schema."""
+def leg_rows(t, corrected: bool = False) -> DataFrame:
+    """The fixture as records of the declared schema beside their directories; corrected ones burn a tonne more."""
     legs = t.f2_leg
     if corrected:
-        legs = legs.where("client = 'R'")
-        legs = legs.withColumn("foc_me", F.col("foc_me") + 1)
-    rows = legs.select(
+        legs = legs.where("client = 'R' AND ship_id % 7 < 3").withColumn("foc_me", F.col("foc_me") + 1)
+    return legs.select(
         F.col("ship_id").alias("ship"),
         (F.floor(F.year("utc") / 10) * 10).alias("decade"),
         F.lit(1).alias("part"),
@@ -27,29 +25,37 @@ def staged_legs(t, corrected: bool = False) -> str:
         F.col("rpm").cast("string").alias("rpm"),
         F.date_format("utc", "yyyy-MM-dd HH:mm:ss").alias("utc"),
     )
-    root = stage_path(t.spark, "leg-tree")
-    # few files: the fixture's ships are small
-    files.write_json_tree(rows.repartition("ship", "decade"), root, ["ship", "decade", "part"])
+
+
+def staged_legs(t, corrected: bool = False) -> str:
+    """A telemetry tree <root>/ship=../decade=../part=../*.txt, each file one array of records."""
+    root = stage_path(t.spark, "corrected-tree" if corrected else "leg-tree")
+    files.write_record_arrays(leg_rows(t, corrected), root, ["ship", "decade", "part"])
     return root
 
 
 def read_legs(t, roots: list[str]) -> DataFrame:
-    return files.scan_legs(t.spark, roots, file_glob="*.json", multi_line=False)
+    return files.scan_legs(t.spark, roots, file_glob="*.txt")
 
 
+# corrected records before raw ones
+TWO_TREES = """(SELECT *, 1 AS source_rank FROM f2_leg UNION ALL
+    SELECT * REPLACE (foc_me + 1 AS foc_me), 0 FROM f2_leg WHERE client = 'R' AND ship_id % 7 < 3)"""
 LEG_OUT = f"""ship_id, client, {r('CAST(foc_me AS FLOAT)', 4)} AS foc_me, {r('CAST(wind_u AS FLOAT)', 4)} AS wind_u,
     strftime(utc, '%Y-%m-%d %H:%M:%S') AS utc_text"""
 
 
-def leg_out(df: DataFrame) -> DataFrame:
+def leg_out(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
-        "ship_id", "client", rc("foc_me", 4).alias("foc_me"), rc("wind_u", 4).alias("wind_u"), F.col("utc").alias("utc_text")
+        "ship_id", "client", rc("foc_me", 4).alias("foc_me"), rc("wind_u", 4).alias("wind_u"), F.col("utc").alias("utc_text"), *more
     )
 
 
-@query("scan_leg_json", f"SELECT {LEG_OUT} FROM f2_leg")
+@query("scan_leg_json", f"SELECT {LEG_OUT}, source_rank FROM {TWO_TREES}")
 def _(t):
-    return leg_out(read_legs(t, [staged_legs(t)]))
+    """Both trees, each file an array of records."""
+    legs = read_legs(t, [staged_legs(t, corrected=True), staged_legs(t)])
+    return leg_out(legs, "source_rank")
 
 
 ABSENT = ["deadweight", "foc_total", "load", "loading_condition", "point_type", "power", "sst", "tw_speed"]
@@ -69,28 +75,74 @@ def _(t):
     return typed.groupBy("ship_id").agg(rc(F.avg("foc_me")).alias("foc_me"), rc(F.avg("rpm"), 3).alias("avg_rpm"), *counts)
 
 
-@query("scan_draftlist_json", "SELECT ship_id, dep_utc, arr_utc, 'c' || CAST(ship_id % 7 AS VARCHAR) AS cargo, ship_id % 11 AS draft_dm FROM f4_voyage")
+_TRIPS = "ship_id, dep_utc, arr_utc, 'c' || CAST(ship_id % 7 AS VARCHAR) AS cargo, ship_id % 11 AS draft_dm"
+
+
+@query(
+    "scan_draftlist_json",
+    f"""SELECT {_TRIPS}, 1 AS source_rank FROM f4_voyage UNION ALL
+        SELECT * REPLACE ('corrected' AS cargo), 0 FROM (SELECT {_TRIPS} FROM f4_voyage WHERE ship_id % 5 = 0)""",
+)
 def _(t):
-    root = stage_path(t.spark, "draftlists")
+    """Voyage lists of both trees, each file an array of records, all their columns."""
     rows = t.f4_voyage.withColumn("cargo", F.expr("'c' || ship_id % 7")).withColumn("draft_dm", F.expr("ship_id % 11"))
-    files.write_json_tree(rows.withColumnRenamed("ship_id", "ship").repartition("ship"), root, ["ship"])
-    read = files.scan_draftlists(t.spark, [root], file_glob="*.json", multi_line=False)
-    return read.drop("source_rank")
+    rows = rows.withColumnRenamed("ship_id", "ship")
+    roots = [stage_path(t.spark, "corrected-draftlists"), stage_path(t.spark, "draftlists")]
+    files.write_record_arrays(rows.where("ship % 5 = 0").withColumn("cargo", F.lit("corrected")), roots[0], ["ship"])
+    files.write_record_arrays(rows, roots[1], ["ship"])
+    return files.scan_draftlists(t.spark, roots, file_glob="*.txt")
+
+
+_FIRST = f"""SELECT ship_id, client, strftime(utc, '%Y-%m-%d %H:%M:%S') AS utc, min(source_rank) AS source_rank,
+    {r('CAST(arg_min(foc_me, source_rank * 1000 + foc_me) AS FLOAT)', 4)} AS foc_me FROM {TWO_TREES} GROUP BY ship_id, client, utc"""
+
+
+@query("source_precedence", _FIRST)
+def _(t):
+    """The two trees read together; of one key the corrected record stays."""
+    legs = read_legs(t, [staged_legs(t, corrected=True), staged_legs(t)])
+    first = clean.keep_first(legs.select("ship_id", "client", "utc", "foc_me", "source_rank"), ["ship_id", "client", "utc"], rank=["source_rank"])
+    return rounded(first, ["foc_me"], 4)
+
+
+def two_loads(t):
+    """A table loaded from the raw tree, then again with the corrected tree in front; what each load saw change."""
+    table = stage_path(t.spark, "legs-by-bucket")
+    raw = staged_legs(t)
+    empty = stage_path(t.spark, "no-corrections")
+    t.spark.createDataFrame([], "value string").write.text(empty)
+    changes = [incremental.load_trees(t.spark, [empty, raw], table, "*.txt")]
+    changes.append(incremental.load_trees(t.spark, [staged_legs(t, corrected=True), raw], table, "*.txt"))
+    return table, changes
+
+
+# of equal keys in one tree the first by all columns stays
+_LOADED = f"""SELECT ship_id, client, utc, source_rank, foc_me FROM (SELECT ship_id, client, strftime(utc, '%Y-%m-%d %H:%M:%S') AS utc,
+    CAST(source_rank AS INTEGER) AS source_rank, {r('CAST(foc_me AS FLOAT)', 4)} AS foc_me, row_number() OVER (PARTITION BY ship_id, client, utc
+    ORDER BY source_rank, course, crnt_u, crnt_v, draft_aft, draft_fore, foc_me) AS rn FROM {TWO_TREES}) WHERE rn = 1"""
+
+
+@query("incremental_load", _LOADED)
+def _(t):
+    """The table after two loads, the second of which rewrote only the buckets of corrected ships."""
+    table, _changes = two_loads(t)
+    rows = files.read_columnar(t.spark, table).select("ship_id", "client", "utc", "source_rank", "foc_me")
+    return rounded(rows, ["foc_me"], 4)
 
 
 @query(
-    "source_precedence",
-    """WITH s AS (SELECT ship_id, client, utc, foc_me + 1 AS foc_me, 0 AS source_rank FROM f2_leg WHERE client = 'R'
-         UNION ALL SELECT ship_id, client, utc, foc_me, 1 FROM f2_leg)
-       SELECT ship_id, client, utc, min(source_rank) AS source_rank, arg_min(foc_me, source_rank * 1000 + foc_me) AS foc_me
-       FROM s GROUP BY ship_id, client, utc""",
+    "load_changes",
+    f"""WITH f AS (SELECT DISTINCT ship_id, floor(year(utc) / 10) AS decade, source_rank FROM {TWO_TREES})
+        SELECT 2 - source_rank AS load, 'added' AS change, source_rank, count(*) AS n_files, count(DISTINCT ship_id) AS n_ships
+        FROM f GROUP BY source_rank""",
 )
 def _(t):
-    cols = ["ship_id", "client", "utc", "foc_me"]
-    legs = t.f2_leg.select(*cols)
-    corrected = legs.where("client = 'R'").withColumn("foc_me", F.col("foc_me") + 1)
-    both = corrected.withColumn("source_rank", F.lit(0)).unionByName(legs.withColumn("source_rank", F.lit(1)))
-    return clean.keep_first(both, ["ship_id", "client", "utc"], rank=["source_rank"])
+    """Files and ships that each load found changed."""
+    _table, changes = two_loads(t)
+    told = [c.withColumn("load", F.lit(i + 1)) for i, c in enumerate(changes)]
+    return told[0].unionByName(told[1]).groupBy("load", "change", "source_rank").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_distinct("ship_id").alias("n_ships")
+    )
 
 
 @query("columnar_checkpoint", f"SELECT ship_id, client, utc, {r('foc_me')} AS foc_me FROM f2_leg")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import performance as perf, weather as wx
-from ..schema import FEATURES, IDS, TARGETS
+from ..operators import scaling
+from ..schema import FEATURES, IDS, SCALED_FEATURES, SHIP_FEATURES, TARGETS
 
 RATINGS = ["draft", "speed_at_mcr", "rpm_at_mcr", "power_at_mcr"]
 
@@ -47,6 +48,17 @@ def feature_table(records: DataFrame, register: DataFrame, keep: list[str] = IDS
     return add_ratios(add_components(rated)).select(*dict.fromkeys([*keep, *FEATURES, *TARGETS]))
 
 
+def pooled_table(features: DataFrame, classes: DataFrame, split: str = "type", by: str = "label") -> DataFrame:
+    """The 27 inputs of the pooled models beside ids and targets: rows of classified ships only.
+
+    Register columns are scaled over the ships of a class, drafts and weather over the class's training and validation
+    rows; ratios and targets stay as they are. ``speed_at_mcr`` and ``rpm_at_mcr`` are then scaled values.
+    """
+    ships = scaling.standardize_by(classes.select("ship_id", by, *SHIP_FEATURES), SHIP_FEATURES, [by])
+    held = features.join(ships, "ship_id")
+    return scaling.standardize_by(held, SCALED_FEATURES, [by], held.where(F.col(split) != "test"))
+
+
 def legacy_features(df: DataFrame, waves: tuple[str, ...] = ("pri", "sec", "sea", "swl")) -> DataFrame:
     """The older set: mathematical angle convention, absolute transverse parts, plain trim."""
     course = wx.deg2rad("course")

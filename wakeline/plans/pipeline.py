@@ -64,8 +64,9 @@ def telemetry_to_records(legs: DataFrame, register: DataFrame, rules: CleaningRu
     return continuous_records(kept, rules)
 
 
-def register_to_classes(register: DataFrame, ship_type: str, k: int = 5) -> DataFrame:
-    return classes.ship_classes(clean.register_clean(register), ship_type, k=k)
+def register_to_classes(register: DataFrame, ship_types: list[str], k: int = 5) -> DataFrame:
+    chosen = clean.register_clean(register).where(F.col("ship_type").isin(*ship_types))
+    return classes.ship_classes(chosen, k=k)
 
 
 @dataclass(frozen=True)

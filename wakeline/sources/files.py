@@ -18,12 +18,12 @@ REGISTER_XML_SCHEMA = T.StructType(
 RENAMES = {"wni_ship_num": "ship_id", "bhp": "power_at_mcr"}
 
 
-def path_id(level: int) -> Column:
+def path_id(level: int, path: str = "_metadata.file_path") -> Column:
     """The number that ends the ``level``-th path element from the right of the row's file.
 
     Accepts plain directories (``4711``) and partition directories (``ship=4711``).
     """
-    element = F.element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-level))
+    element = F.element_at(F.split(F.col(path), "/"), F.lit(-level))
     return F.regexp_extract(element, "([0-9]+)$", 1).cast("long")
 
 
@@ -89,6 +89,16 @@ def write_json_tree(df: DataFrame, root: str, dirs: list[str]) -> None:
     df.write.partitionBy(*dirs).json(root)
 
 
+def write_record_arrays(df: DataFrame, root: str, dirs: list[str]) -> None:
+    """One file for each directory of ``dirs``, holding its rows as one JSON array of records.
+
+    The rows of a directory are gathered, as the form asks for; directories should be cut finer than ships.
+    """
+    record = F.to_json(F.struct(*[F.col(c) for c in df.columns if c not in dirs]))
+    arrays = df.groupBy(*dirs).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy(*dirs).text(root)
+
+
 def columnar_checkpoint(df: DataFrame, path: str, buckets: int = 256, key: str = "ship_id") -> None:
     """Parquet partitioned by a hash bucket of the ship, the stage format of concatenated legs.
 
