@@ -139,11 +139,23 @@ def test_outlier_label(spark):
     assert [r.outlier_score for r in flagged] == [10.0]  # the 0.9 quantile is 9, not itself above
 
 
-def test_pca_outlier_is_the_distance_to_the_leading_plane(spark):
+def test_pca_outlier_per_ship(spark):
+    """Distances to the unit components of the ship's own correlation matrix, over their shares of variance."""
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(80, 3)) @ np.array([[2, 1, 0], [0, 1, 0.5], [0, 0, 0.2]])
-    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "i long, a double, b double, c double")
-    got = [r.outlier_score for r in outliers.pca_outlier(df, ["a", "b", "c"]).orderBy("i").collect()]
-    z = (x - x.mean(0)) / x.std(0)
-    _, _, vt = np.linalg.svd(z, full_matrices=False)
-    assert got == pytest.approx(np.abs(z @ vt[2]).tolist(), abs=1e-6)
+    mix = np.array([[2, 1, 0], [0, 1, 0.5], [0, 0, 0.2]])
+    parts = {1: rng.normal(size=(80, 3)) @ mix, 2: rng.normal(size=(50, 3)) @ mix.T, 3: np.array([[1.0, i, -i] for i in range(9)])}
+    rows = [(s, i, *map(float, p)) for s, x in parts.items() for i, p in enumerate(x)]
+    rows += [(1, 900, None, 1.0, 1.0), (4, 0, 1.0, 1.0, 1.0), (None, 0, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "ship_id long, i long, a double, b double, c double")
+    got = {(r.ship_id, r.i): r.outlier_score for r in outliers.pca_outlier(df, ["a", "b", "c"]).collect()}
+    assert len(got) == len(rows) and got[1, 900] is None and got[4, 0] is None
+    for ship, x in parts.items():
+        if ship == 3:  # one column is constant, the others are one: a single component
+            assert all(got[3, i] is None for i in range(9))
+            continue
+        z = (x - x.mean(0)) / x.std(0)
+        _, w, vt = np.linalg.svd(z, full_matrices=False)
+        share = w**2 / (w**2).sum()
+        vt = vt * np.sign(np.take_along_axis(vt, np.abs(vt).argmax(1)[:, None], 1))
+        want = sum(np.sqrt(((z - vt[k]) ** 2).sum(1)) / share[k] for k in range(2))
+        assert [got[ship, i] for i in range(len(x))] == pytest.approx(want.tolist(), abs=1e-6)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, clean, evaluate, runs
+from ..operators import audit, clean, density, evaluate, runs
 from ..operators.quantiles import grouped_quantiles
 from ..schema import REGISTER_NUMERIC
 from ..session import stage
@@ -315,3 +315,37 @@ def _(t):
 def _(t):
     q = grouped_quantiles(t.f2_leg, ["ship_id"], "l_extendedprice", [0.25, 0.5, 0.75])
     return q.select("ship_id", *[rc(F.col("quantiles")[i]).alias(n) for i, n in enumerate(["q25", "q50", "q75"])])
+
+
+def _density_sql(cols: list[str], grid: int, where: str = "true") -> str:
+    """Linear binning to the grid, then the kernel summed over it directly, all axes at once."""
+    d = len(cols)
+    axis = ", ".join(f"stddev_samp({c}) * pow(count(*), -1.0E0 / {d + 4}) AS h{i}, min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(cols))
+    step = ", ".join(f"lo{i} - 3 * h{i} AS x{i}, (hi{i} - lo{i} + 6 * h{i}) / {grid - 1}.0E0 AS d{i}" for i in range(d))
+    place = ", ".join(f"({c} - x{i}) / d{i} AS p{i}" for i, c in enumerate(cols))
+    corner = ", ".join(f"CAST(floor(p{i}) AS BIGINT) + s{i} AS b{i}" for i in range(d))
+    weight = " * ".join(f"(CASE WHEN s{i} = 1 THEN p{i} - floor(p{i}) ELSE 1 - p{i} + floor(p{i}) END)" for i in range(d))
+    sides = ", ".join(f"range(2) r{i}(s{i})" for i in range(d))
+    kernel = " * ".join(f"exp(-0.5E0 * ((g{i} - b{i}) * d{i} / h{i}) * ((g{i} - b{i}) * d{i} / h{i})) / (h{i} * sqrt(2 * pi()))" for i in range(d))
+    points = ", ".join(f"range({grid}) q{i}(g{i})" for i in range(d))
+    out = ", ".join(f"CAST(g{i} AS INTEGER) AS i_{c}, {r(f'any_value(x{i}) + g{i} * any_value(d{i})')} AS {c}" for i, c in enumerate(cols))
+    return f"""WITH v AS (SELECT * FROM f2_leg WHERE {where}), m AS (SELECT client, count(*) AS n, {axis} FROM v GROUP BY client),
+        a AS (SELECT *, {step} FROM m), p AS (SELECT client, {place} FROM v JOIN a USING (client)),
+        c AS (SELECT client, {corner}, {weight} AS w FROM p, {sides}),
+        b AS (SELECT client, {", ".join(f"b{i}" for i in range(d))}, sum(w) AS w FROM c GROUP BY ALL)
+        SELECT client, {out}, {r(f'sum(w * {kernel}) / any_value(n)')} AS density
+        FROM b JOIN a USING (client), {points} GROUP BY client, {", ".join(f"g{i}" for i in range(d))}"""
+
+
+@query("kernel_density", _density_sql(["foc_me"], 100))
+def _(t):
+    """Density of fuel per client on 100 points."""
+    table = density.densities(t.f2_leg, ["client"], ["foc_me"])
+    return rounded(table, ["foc_me", "density"])
+
+
+@query("kernel_density_2d", _density_sql(["og_speed", "foc_me"], 20))
+def _(t):
+    """Joint density of speed and fuel per client on 20 by 20 points."""
+    table = density.densities(t.f2_leg, ["client"], ["og_speed", "foc_me"], grid=20)
+    return rounded(table, ["og_speed", "foc_me", "density"])

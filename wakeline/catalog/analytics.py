@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..functions.performance import cube
 from ..operators import classes, clean, dense, evaluate, outliers, ridge, scaling
 from ..plans.features import add_components, add_ratios, feature_table, legacy_features, outlier_features, pooled_table
@@ -14,15 +15,17 @@ from .physics import CRNT_L, FEATURE_SQL, ID, IDS, KW, LEGACY_SQL, RATED_F2
 from .registry import query, r, rc, rounded
 from .series import SPLIT_SQL, split_f2
 
-ROWID = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS rid"
-
-
 def knn_sql(points: str, cols: list[str]) -> str:
-    """CTE ``s``: score = distance to the k-th nearest other row of the ship, k = min(100, int(n / 10))."""
-    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
-    return f"""p AS (SELECT *, {ROWID}, count(*) OVER (PARTITION BY ship_id) AS n FROM ({points})),
-      s AS (SELECT a.rid, sqrt(min({d2}, 100)[CAST(least(100, floor(any_value(a.n) * 0.1)) AS BIGINT)]) AS score
-            FROM p a JOIN p b ON a.ship_id = b.ship_id AND a.rid <> b.rid GROUP BY a.rid)"""
+    """CTE ``s``: the points with ``score``, the distance to the k-th nearest other row of the ship, k = min(100, int(n / 10)).
+
+    Each ship's points are one list; a row sorts its own distances to them, of which its own zero is the first.
+    """
+    packed = ", ".join(f"'{c}': {c}" for c in cols)
+    d2 = " + ".join(f"(q.{c} - {c}) * (q.{c} - {c})" for c in cols)
+    return f"""p AS ({points}), g AS (SELECT ship_id AS gid, list({{{packed}}}) AS qs, CAST(least(100, floor(count(*) * 0.1)) AS BIGINT) AS k
+        FROM p GROUP BY ship_id),
+      s AS (SELECT p.*, CASE WHEN k >= 1 THEN sqrt(list_sort(list_transform(qs, lambda q: {d2}))[k + 1]) END AS score
+            FROM p JOIN g ON ship_id = gid)"""
 
 
 NORM_POINTS = f"""SELECT {IDS}, ship_id, (rpm / rpm_at_mcr) * (rpm / rpm_at_mcr) * (rpm / rpm_at_mcr) AS x,
@@ -32,18 +35,16 @@ RAW_POINTS = f"SELECT {IDS}, ship_id, og_speed AS x, rpm AS y, foc_me AS z FROM
 
 @query(
     "knn_outlier_score",
-    f"WITH {knn_sql(NORM_POINTS, ['x', 'y', 'z'])} SELECT {IDS}, ship_id, {r('score')} AS outlier_score FROM p JOIN s USING (rid)",
+    f"WITH {knn_sql(NORM_POINTS, ['x', 'y', 'z'])} SELECT {IDS}, ship_id, {r('score')} AS outlier_score FROM s",
 )
 def _(t):
-    legs = outlier_features(t.f2_leg, t.f3_register).where("norm_foc_me IS NOT NULL")
-    scored = outliers.knn_score(legs, ["norm_rpm3", "norm_foc_me", "norm_tw_speed"])
-    return scored.select(*ID, "ship_id", rc("outlier_score").alias("outlier_score"))
+    return norm_scores(t).select(*ID, "ship_id", rc("outlier_score").alias("outlier_score"))
 
 
 @query(
     "knn_outlier_1d",
     f"""WITH {knn_sql(f"SELECT {IDS}, ship_id, l_extendedprice AS x FROM f2_leg", ['x'])}
-        SELECT {IDS}, ship_id, {r('score', 4)} AS price_score FROM p JOIN s USING (rid)""",
+        SELECT {IDS}, ship_id, {r('score', 4)} AS price_score FROM s""",
 )
 def _(t):
     scored = outliers.knn_score_1d(t.f2_leg, "l_extendedprice", out="price_score")
@@ -70,12 +71,57 @@ def raw_scores(t):
 
 @query(
     "outlier_filter",
-    f"WITH {knn_sql(RAW_POINTS, ['x', 'y', 'z'])} SELECT {IDS}, ship_id FROM p JOIN s USING (rid) WHERE score < {JOINT_LIMIT}",
+    f"WITH {knn_sql(RAW_POINTS, ['x', 'y', 'z'])} SELECT {IDS}, ship_id FROM s WHERE score < {JOINT_LIMIT}",
 )
 def _(t):
     return raw_scores(t).where(F.col("outlier_score") < JOINT_LIMIT).select(*ID, "ship_id")
 
 
+def norm_scores(t):
+    legs = outlier_features(t.f2_leg, t.f3_register).where("norm_foc_me IS NOT NULL")
+    return outliers.knn_score(legs, ["norm_rpm3", "norm_foc_me", "norm_tw_speed"])
+
+
+def _labels_sql(contamination: float) -> str:
+    return f"""WITH {knn_sql(NORM_POINTS, ['x', 'y', 'z'])}, n AS (SELECT {IDS}, ship_id, {r('score')} AS score FROM s)
+        SELECT {IDS}, ship_id, CAST(score > quantile_cont(score, {1 - contamination}) OVER (PARTITION BY ship_id) AS INTEGER) AS outlier_label FROM n"""
+
+
+@query("outlier_label_score", _labels_sql(0.06))
+def _(t):
+    """Labels of the joint score at the earlier contamination; compared after rounding, as both engines sum alike."""
+    rows = stage(rounded(norm_scores(t).select(*ID, "ship_id", "outlier_score"), ["outlier_score"]), "scores")
+    return outliers.outlier_label(rows, contamination=0.06).drop("outlier_score")
+
+
+@query("outlier_filter_label", f"SELECT {IDS}, ship_id FROM ({_labels_sql(0.1)}) WHERE outlier_label = 0")
+def _(t):
+    """Rows that the joint score does not label, the rule in use."""
+    rows = stage(rounded(norm_scores(t).select(*ID, "ship_id", "outlier_score"), ["outlier_score"]), "scores")
+    return outliers.outlier_label(rows, contamination=0.1).where("outlier_label = 0").select(*ID, "ship_id")
+
+
+# limits of the three single scores, on the fixture's values
+SINGLE_LIMITS = {"l_extendedprice": 5900.0, "sig_ht": 0.35, "foc_me": 3.5}
+
+
+def _singles_sql() -> str:
+    scored = []
+    for c in SINGLE_LIMITS:
+        scored.append(f"s_{c} AS (WITH {knn_sql(f'SELECT {IDS}, ship_id, {c} AS x FROM f2_leg', ['x'])} SELECT {IDS}, ship_id, score FROM s)")
+    keep = " AND ".join(f"{r(f's_{c}.score')} < {limit}" for c, limit in SINGLE_LIMITS.items())
+    first, *others = [f"s_{c}" for c in SINGLE_LIMITS]
+    joined = " ".join(f"JOIN {o} USING ({IDS}, ship_id)" for o in others)
+    return f"WITH {', '.join(scored)} SELECT {IDS}, ship_id FROM {first} {joined} WHERE {keep}"
+
+
+@query("outlier_filter_1d", _singles_sql())
+def _(t):
+    """Rows within the limit on each of three single-column scores."""
+    rows = t.f2_leg.select(*ID, "ship_id", *[c for c in SINGLE_LIMITS if c not in ID])
+    return outliers.single_filter(rows, SINGLE_LIMITS).select(*ID, "ship_id")
+
+
 @query(
     "outlier_audit",
     f"""WITH {knn_sql(RAW_POINTS, ['x', 'y', 'z'])}
@@ -88,9 +134,40 @@ def _(t):
     return rounded(report, report.columns)
 
 
-@query("pca_outlier")
+def _pca_sql() -> str:
+    """Closed form for three columns: roots of the characteristic polynomial, each vector the largest cross product of two
+    rows of (matrix - root)."""
+
+    def vector(k: int) -> str:
+        rows = [(f"1 - w{k}", "a", "b"), ("a", f"1 - w{k}", "c"), ("b", "c", f"1 - w{k}")]
+        cross = []
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            (p, q, s), (u, v, w) = rows[i], rows[j]
+            cross.append(f"[({q}) * ({w}) - ({s}) * ({v}), ({s}) * ({u}) - ({p}) * ({w}), ({p}) * ({v}) - ({q}) * ({u})]")
+        return f"[{', '.join(cross)}] AS x{k}"
+
+    unit = lambda k: f"""list_transform(v{k}, lambda e: e / sqrt(list_dot_product(v{k}, v{k}))
+        * CASE WHEN list_max(v{k}) >= -list_min(v{k}) THEN 1 ELSE -1 END) AS u{k}"""
+    pick = lambda k: f"""list_filter(x{k}, lambda e: list_dot_product(e, e) =
+        list_max(list_transform(x{k}, lambda f: list_dot_product(f, f))))[1] AS v{k}"""
+    apart = lambda k: f"sqrt((z1 - u{k}[1]) * (z1 - u{k}[1]) + (z2 - u{k}[2]) * (z2 - u{k}[2]) + (z3 - u{k}[3]) * (z3 - u{k}[3]))"
+    return f"""WITH n AS ({NORM_POINTS}),
+      m AS (SELECT ship_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, stddev_pop(x) AS sx, stddev_pop(y) AS sy, stddev_pop(z) AS sz,
+        corr(x, y) AS a, corr(x, z) AS b, corr(y, z) AS c FROM n GROUP BY ship_id),
+      e AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS h, a * b * c AS det FROM m),
+      o AS (SELECT *, acos(greatest(-1, least(1, det / (h * h * h)))) / 3 AS phi FROM e),
+      l AS (SELECT *, 1 + 2 * h * cos(phi) AS w1, 1 + 2 * h * cos(phi - 2 * pi() / 3) AS w2 FROM o),
+      t AS (SELECT *, {vector(1)}, {vector(2)} FROM l),
+      v AS (SELECT *, {pick(1)}, {pick(2)} FROM t),
+      u AS (SELECT *, {unit(1)}, {unit(2)} FROM v),
+      s AS (SELECT n.*, (x - mx) / sx AS z1, (y - my) / sy AS z2, (z - mz) / sz AS z3, w1, w2, u1, u2 FROM n JOIN u USING (ship_id))
+      SELECT {IDS}, ship_id, {r(f'{apart(1)} / (w1 / 3) + {apart(2)} / (w2 / 3)', 4)} AS outlier_score FROM s"""
+
+
+@query("pca_outlier", _pca_sql())
 def _(t):
-    legs = outlier_features(t.f2_leg, t.f3_register)
+    """Score by the ship's own two leading components."""
+    legs = outlier_features(t.f2_leg, t.f3_register).where("norm_foc_me IS NOT NULL")
     scored = outliers.pca_outlier(legs, ["norm_rpm3", "norm_foc_me", "norm_tw_speed"])
     return scored.select(*ID, "ship_id", rc("outlier_score", 4).alias("outlier_score"))
 
@@ -246,6 +323,22 @@ def _(t):
     return rounded(evaluate.percent_rank_table(res, ["type"], "residual"), ["pct_rank"])
 
 
+@query(
+    "residual_normal_quantiles",
+    f"""WITH x AS (SELECT type, {r(f'{Y} - {P}')} AS residual FROM f5_prediction),
+          c AS (SELECT type, residual, count(*) AS n_rows, sum(count(*)) OVER (PARTITION BY type ORDER BY residual) AS upto,
+            sum(count(*)) OVER (PARTITION BY type) AS total FROM x GROUP BY type, residual),
+          f AS (SELECT type, avg(residual) AS m, stddev_pop(residual) AS s FROM x GROUP BY type)
+        SELECT type, residual, n_rows, {r(normal.quantile_sql('(upto - n_rows + 1) / (total + 1)'))} AS normal_low,
+          {r(normal.quantile_sql('upto / (total + 1)'))} AS normal_high, {r('(residual - m) / nullif(s, 0)')} AS standardised
+        FROM c JOIN f USING (type)""",
+)
+def _(t):
+    """Residuals against the normal distribution fitted to them, each different value once."""
+    res = evaluate.residuals(t.f5_prediction, Y, P).select("type", rc("residual").alias("residual"))
+    return rounded(evaluate.normal_quantile_table(res, ["type"], "residual"), ["normal_low", "normal_high", "standardised"])
+
+
 @query(
     "assemble_results",
     f"""WITH {SPLIT_SQL}, w AS (SELECT *, {CRNT_L} AS crnt_l, og_speed / 20.0E0 AS pred_norm FROM split)

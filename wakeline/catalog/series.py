@@ -13,6 +13,7 @@ from .registry import query, r, rc, rounded
 # Rows of f2 in a total order: every column that can differ decides.
 ORDER = ["utc", "client", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "foc_me", "og_speed", "rpm"]
 ORDERS = ", ".join(ORDER)
+ALL_KEYS = ["ship_id", *ORDER]
 ALL_F2 = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, foc_me, og_speed, rpm"
 
 
@@ -200,3 +201,22 @@ def _(t):
 )
 def _(t):
     return splits.split_time_cut(t.f2_leg, ORDER, 0.25, bucket_hours=24 * 30).select(*ROW, "type")
+
+
+@query(
+    "split_exact",
+    """SELECT client, count(*) AS n_rows, CAST(ceil(count(*) * 0.2E0) AS BIGINT) AS n_test FROM f2_leg GROUP BY client""",
+)
+def _(t):
+    """Random split of exact size in each stratum."""
+    typed = splits.split_exact(t.f2_leg, ALL_KEYS, 0.2, ["client"])
+    return typed.groupBy("client").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("type") == "test").alias("n_test"))
+
+
+@query(
+    "split_exact_pooled",
+    "SELECT count(*) AS n_rows, CAST(ceil(count(*) * 0.25E0) AS BIGINT) AS n_test FROM f2_leg",
+)
+def _(t):
+    typed = splits.split_exact(t.f2_leg, ALL_KEYS, 0.25, seed=7)
+    return typed.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("type") == "test").alias("n_test"))

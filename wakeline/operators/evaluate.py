@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import normal
 from ..functions.performance import denorm_speed
 from ..session import stage
 from .quantiles import HOT_ROWS, grouped_quantiles, value_bins
-from .sized import null_safe_join
+from .sized import attach, null_safe_join
 
 METRICS = ["mae", "rmse", "mape", "r2"]
 
@@ -67,8 +68,8 @@ def assemble_results(df: DataFrame, register: DataFrame, pred: str = "pred_norma
     )
 
 
-def percent_rank_table(df: DataFrame, by: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Distinct values per group with their frequency and percent rank: the points of a QQ plot.
+def rank_table(df: DataFrame, by: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct values per group with their frequency, the rows below them and the rows of the group.
 
     Ranks run per (group, value bin) with offsets from a table of bins; groups of very many distinct
     values are cut into bins, so none is ranked in one task.
@@ -83,14 +84,38 @@ def percent_rank_table(df: DataFrame, by: list[str], value: str, hot_rows: int =
             *by,
             "_bin",
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-            F.sum("_n").over(Window.partitionBy(*by)).alias("_total"),
+            F.sum("_n").over(Window.partitionBy(*by)).alias("n_total"),
         )
     )
     inside = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = binned.withColumn("_in", F.coalesce(F.sum("n_rows").over(inside), F.lit(0)))
     ranked = null_safe_join(local, bins, [*by, "_bin"])
-    return ranked.select(
-        *by, value, "n_rows", F.try_divide(F.col("_off") + F.col("_in"), F.col("_total") - 1).alias("pct_rank")
+    return ranked.select(*by, value, "n_rows", (F.col("_off") + F.col("_in")).alias("n_below"), "n_total")
+
+
+def percent_rank_table(df: DataFrame, by: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct values per group with their frequency and percent rank: the points of a QQ plot."""
+    ranked = rank_table(df, by, value, hot_rows)
+    return ranked.select(*by, value, "n_rows", F.try_divide(F.col("n_below"), F.col("n_total") - 1).alias("pct_rank"))
+
+
+def normal_quantile_table(df: DataFrame, by: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The points of a normal QQ plot with a fitted 45-degree line, equal values once.
+
+    The i-th of n rows stands at the normal quantile of i / (n + 1); rows of one value reach from ``normal_low`` to
+    ``normal_high``. ``standardised`` is the value by the mean and population deviation of its group.
+    """
+    known = df.where(F.col(value).isNotNull())
+    fitted = known.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    placed = attach(rank_table(known, by, value, hot_rows), fitted, by)
+    at = lambda i: normal.quantile(i / (F.col("n_total") + 1))
+    return placed.select(
+        *by,
+        value,
+        "n_rows",
+        at(F.col("n_below") + 1).alias("normal_low"),
+        at(F.col("n_below") + F.col("n_rows")).alias("normal_high"),
+        F.try_divide(F.col(value) - F.col("_m"), F.col("_s")).alias("standardised"),
     )
 
 

@@ -332,6 +332,16 @@ def outlier_label(
     return attach(df, cut, [key]).withColumn(out, (F.col(score) > F.col("_cut")).cast("int")).drop("_cut")
 
 
+def single_filter(df: DataFrame, limits: dict[str, float], key: str = "ship_id", digits: int = 6) -> DataFrame:
+    """Rows whose single-column score is below the limit on every listed column; scores are compared rounded."""
+    kept = df
+    for i, c in enumerate(limits):
+        kept = knn_score_1d(kept, c, key=key, out=f"_score{i}")
+    scale = float(10**digits)
+    near = [F.floor(F.col(f"_score{i}") * scale + 0.5) / scale < limit for i, limit in enumerate(limits.values())]
+    return kept.where(all_of(near)).select(*df.columns)
+
+
 def outlier_audit(df: DataFrame, score: str = "outlier_score", levels: tuple[float, ...] = (1.0, 3.0)) -> DataFrame:
     return df.agg(
         *[
@@ -343,22 +353,55 @@ def outlier_audit(df: DataFrame, score: str = "outlier_score", levels: tuple[flo
     )
 
 
-def pca_outlier(df: DataFrame, cols: list[str], components: int = 2, out: str = "outlier_score") -> DataFrame:
-    """Distance of each standardised row to the plane of the leading principal components; NULL where a column is."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    from .scaling import standardize
-
-    z = standardize(df.withColumns({f"_z_{c}": F.col(c) for c in cols}).na.drop(subset=cols), [f"_z_{c}" for c in cols])
-    z = stage(z, "pca-in")
-    packed = VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="_x").transform(z)
-    model = PCA(k=components, inputCol="_x", outputCol="_y").fit(packed)
-    y = vector_to_array(F.col("_y"))
-    scored = model.transform(packed).withColumn("_ya", y)
-    # the components are orthonormal, so the squared distance is |x|^2 - |y|^2
-    total = sum((F.col(f"_z_{c}") * F.col(f"_z_{c}") for c in cols), F.lit(0.0))
-    kept = sum((F.col("_ya")[i] * F.col("_ya")[i] for i in range(components)), F.lit(0.0))
-    scored = scored.withColumn(out, F.sqrt(F.greatest(total - kept, F.lit(0.0)))).select(*df.columns, out)
-    lacking = df.where(" OR ".join(f"`{c}` IS NULL" for c in cols)).withColumn(out, F.lit(None).cast("double"))
-    return scored.unionByName(lacking)
+def principal_components(df: DataFrame, cols: list[str], key: str = "ship_id") -> DataFrame:
+    """Per key: means, deviations, and the components of the correlation matrix by falling variance.
+
+    One aggregate carries every key's means, deviations and correlations; the small symmetric matrices are
+    decomposed in batches, a row a key. A component's entry of largest size is positive. Constant columns have no
+    part in any component of positive variance.
+    """
+    n = len(cols)
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    whole = df.where(all_of([F.col(c).isNotNull() for c in cols]))
+    moments = whole.groupBy(key).agg(
+        F.array(*[F.avg(c) for c in cols]).alias("means"),
+        F.array(*[F.stddev_pop(c) for c in cols]).alias("stds"),
+        F.array(*[F.corr(cols[i], cols[j]) for i, j in pairs]).alias("corrs"),
+    )
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            std = np.stack(pdf["stds"].to_numpy()).astype(float)
+            m = np.zeros((len(pdf), n, n))
+            m[:, np.arange(n), np.arange(n)] = std > 0
+            for at, (i, j) in enumerate(pairs):
+                r = np.array([np.nan if row[at] is None else row[at] for row in pdf["corrs"]], float)
+                m[:, i, j] = m[:, j, i] = np.nan_to_num(r)
+            values, vectors = np.linalg.eigh(m)
+            values, vectors = values[:, ::-1], vectors[:, :, ::-1].transpose(0, 2, 1)
+            lead = np.take_along_axis(vectors, np.abs(vectors).argmax(2)[:, :, None], 2)
+            vectors = vectors * np.where(lead < 0, -1.0, 1.0)
+            total = values.sum(1, keepdims=True)
+            shares = np.where(total > 0, values / np.where(total > 0, total, 1.0), 0.0)
+            yield pdf[[key, "means", "stds"]].assign(components=[v.tolist() for v in vectors], shares=shares.tolist())
+
+    kind = df.schema[key].dataType.simpleString()
+    return moments.mapInPandas(
+        solve, f"{key} {kind}, means array<double>, stds array<double>, components array<array<double>>, shares array<double>"
+    )
+
+
+def pca_outlier(df: DataFrame, cols: list[str], components: int = 2, key: str = "ship_id", out: str = "outlier_score") -> DataFrame:
+    """Per ship: the distances of the standardised row to the leading unit components, each over its share of variance, summed.
+
+    NULL where a column is, and where a wanted component has no variance.
+    """
+    held = attach(df, principal_components(df, cols, key).withColumnRenamed("components", "axes"), [key])
+    z = [(F.col(c) - F.col("means")[i]) / F.when(F.col("stds")[i] == 0, F.lit(1.0)).otherwise(F.col("stds")[i]) for i, c in enumerate(cols)]
+    score = F.lit(0.0)
+    for k in range(components):
+        apart = F.sqrt(sum(((zi - F.col("axes")[k][i]) * (zi - F.col("axes")[k][i]) for i, zi in enumerate(z)), F.lit(0.0)))
+        score = score + F.when(F.col("shares")[k] > 1e-12, apart / F.col("shares")[k])
+    return held.withColumn(out, score).select(*df.columns, out)
