@@ -110,9 +110,15 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair per group, as a tall symmetric table."""
+    """Pearson correlation of every column pair per group, as a tall symmetric table; NULL where a column is constant."""
     pairs = list(combinations(cols, 2))
-    one = df.groupBy(*by).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+
+    def corr(a: str, b: str) -> Column:
+        # corr() raises on constant columns; each deviation is over the rows that have both
+        dev = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+        return F.try_divide(F.covar_pop(a, b), dev(a, b) * dev(b, a))
+
+    one = df.groupBy(*by).agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     tall = one.unpivot(by, [f"{a}|{b}" for a, b in pairs], "_pair", "corr")
     named = tall.select(
         *by, F.split("_pair", r"\|")[0].alias("col_a"), F.split("_pair", r"\|")[1].alias("col_b"), "corr"

@@ -366,7 +366,7 @@ def principal_components(df: DataFrame, cols: list[str], key: str = "ship_id") -
     moments = whole.groupBy(key).agg(
         F.array(*[F.avg(c) for c in cols]).alias("means"),
         F.array(*[F.stddev_pop(c) for c in cols]).alias("stds"),
-        F.array(*[F.corr(cols[i], cols[j]) for i, j in pairs]).alias("corrs"),
+        F.array(*[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).alias("covs"),
     )
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,9 +376,10 @@ def principal_components(df: DataFrame, cols: list[str], key: str = "ship_id") -
             std = np.stack(pdf["stds"].to_numpy()).astype(float)
             m = np.zeros((len(pdf), n, n))
             m[:, np.arange(n), np.arange(n)] = std > 0
+            covs = np.stack(pdf["covs"].to_numpy()).astype(float)
             for at, (i, j) in enumerate(pairs):
-                r = np.array([np.nan if row[at] is None else row[at] for row in pdf["corrs"]], float)
-                m[:, i, j] = m[:, j, i] = np.nan_to_num(r)
+                both = std[:, i] * std[:, j]
+                m[:, i, j] = m[:, j, i] = np.where(both > 0, covs[:, at] / np.where(both > 0, both, 1.0), 0.0)
             values, vectors = np.linalg.eigh(m)
             values, vectors = values[:, ::-1], vectors[:, :, ::-1].transpose(0, 2, 1)
             lead = np.take_along_axis(vectors, np.abs(vectors).argmax(2)[:, :, None], 2)
