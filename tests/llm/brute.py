@@ -141,26 +141,33 @@ def stretch(a, b, penalty):
     return best
 
 
-def contaminated(docs, items, masks, step, penalty, min_score, min_span):
-    """docs, items: [(id, text)] -> {(doc_id, item_id)}"""
+def contaminated(docs, items, masks, penalty, min_score, min_span):
+    """docs, items: [(id, text)] -> {(doc_id, item_id): (first word, end word, equal words, score)}; without masks
+    every diagonal is tried."""
     seeds = defaultdict(set)
-    span = len(masks[0])
+    span = len(masks[0]) if masks else 0
     pick = lambda w, i, m: (m, *(w[i + j] for j, c in enumerate(m) if c == "1"))
+    known = defaultdict(list)
     for item, t in items:
         w = tokens(t)
-        for i in range(len(w) - span + 1):
+        if w not in known[item]:
+            known[item].append(w)
+        for i in range(len(w) - span + 1 if masks else 0):
             for m in masks:
-                seeds[pick(w, i, m)].add((item, i))
-    known = {item: tokens(t) for item, t in items}
-    out = set()
+                seeds[pick(w, i, m)].add((item, known[item].index(w), i))
+    out = {}
     for d, t in docs:
         w = tokens(t)
-        diagonals = {
-            (item, i - j) for i in range(0, len(w) - span + 1, step) for m in masks for item, j in seeds.get(pick(w, i, m), ())
-        }
-        for item, g in diagonals:
-            a, b = (w[g:], known[item]) if g >= 0 else (w, known[item][-g:])
+        if masks:
+            diagonals = {
+                (item, v, i - j) for i in range(len(w) - span + 1) for m in masks for item, v, j in seeds.get(pick(w, i, m), ())
+            }
+        else:
+            diagonals = {(item, v, g) for item in known for v, k in enumerate(known[item]) for g in range(1 - len(k), len(w))}
+        for item, v, g in diagonals:
+            a, b = (w[g:], known[item][v]) if g >= 0 else (w, known[item][v][-g:])
             score, s, e = stretch(a, b, penalty)
             if score >= min_score and e - s >= min_span:
-                out.add((d, item))
-    return out
+                found = (score, -(s + max(g, 0)), e + max(g, 0), (penalty * (e - s) + score) // (penalty + 1))
+                out[d, item] = max(out.get((d, item), (0,)), found)
+    return {key: (-first, end, equal, score) for key, (score, first, end, equal) in out.items()}

@@ -1,5 +1,7 @@
 """Operators that are stages of the pipeline, and the pipeline, against plain Python and SQL."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,13 +136,18 @@ def test_components_chain_and_star(spark):
     assert got == {i: 0 for i in range(201)} | {1000: 1000} | {2000 + i: 1000 for i in range(50)}
 
 
-RULES = (decontam.MASKS, decontam.STEP, decontam.PENALTY, decontam.MIN_SCORE, decontam.MIN_SPAN)
+CHECKS = (decontam.PENALTY, decontam.MIN_SCORE, decontam.MIN_SPAN)
+RULES = (decontam.MASKS, *CHECKS)
+
+
+def overlaps(found):
+    return {(r.key.doc_id, r.item_id): (r.first_word, r.end_word, r.n_equal, r.score) for r in found.collect()}
 
 
 @pytest.mark.parametrize("broadcast", [1_000_000, 0])
 def test_decontamination_query(spark, broadcast):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    got = {(r.key.doc_id, r.item_id) for r in decontam.contaminated(docs, items, broadcast).collect()}
+    got = overlaps(decontam.contaminated(docs, items, broadcast))
     pairs = lambda df: [tuple(r) for r in df.collect()]
     want = brute.contaminated(pairs(docs.select("doc_id", "text")), pairs(items.select("item_id", "text")), *RULES)
     assert got == want and want
@@ -157,7 +164,7 @@ def test_decontamination_edges(spark, edge_rows):
     items = [(1, " ".join(passage)), (1, " ".join(passage)), (2, None), (3, "too short"), (None, prose(78, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, rows)
-    got = {(r.key.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    got = overlaps(decontam.contaminated(docs, bench))
     assert got == brute.contaminated([r[:2] for r in rows], set(items), *RULES)
     assert {50, 51, 52, 54, None} <= {d for d, _ in got} and 53 not in {d for d, _ in got}
     out = decontam.decontaminate(docs, bench)
@@ -165,6 +172,25 @@ def test_decontamination_edges(spark, edge_rows):
     assert decontam.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("n, changed, least", [(12, 0.0, 1.0), (14, 0.1, 0.99), (20, 0.15, 0.98), (25, 0.2, 0.97), (40, 0.25, 0.97)])
+def test_decontamination_finds_what_every_diagonal_would(spark, n, changed, least):
+    """Passages with substituted words in otherwise foreign texts, against verification of all diagonals."""
+    rng = random.Random(n)
+    items = [(i, prose(500 + i, n)) for i in range(20)]
+    rows = []
+    for d in range(400):
+        passage = [w if rng.random() >= changed else f"x{rng.random()}" for w in items[d % 20][1].split()]
+        at = [f"y{rng.random()}" for _ in range(rng.randrange(20))]
+        rows.append((d, " ".join(at + passage + ["z"] * 3), "s"))
+    want = {}
+    for r in rows:
+        want |= brute.contaminated([r[:2]], [items[r[0] % 20]], None, *CHECKS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = overlaps(decontam.contaminated(documents(spark, rows), bench))
+    assert got.items() <= want.items() and len(want) > 50
+    assert len(got) >= least * len(want)
+
+
 def test_exponent(spark):
     sources = [(1000,), (300,), (40,)]
     frame = spark.createDataFrame(sources, "tokens long").withColumn("all", F.lit(1340))

@@ -13,10 +13,9 @@ from wakeline.session import stage
 
 from .common import body, let, lower_az, row_key, salt_of, salted, upto, words
 
-# Fixed masks of weight 8 over 12 words.
-MASKS = ("111010110011", "110110011101")
-SPAN = 12
-STEP = 2
+# One fixed mask of weight 6 over 10 words. At every position it meets more overlaps than two masks of weight 8 do, and
+# costs less; tests/llm measures what it finds against verifying every diagonal.
+MASKS = ("1101100101",)
 PENALTY = 2
 MIN_SCORE = 10
 MIN_SPAN = 12
@@ -29,21 +28,21 @@ def tokens(text: Column) -> Column:
     return words(lower_az(F.translate(text, ".,;:!?\"'()[]{}«»¿¡…*_", " " * 22)))
 
 
-def _seeds(w: Column, step: int) -> Column:
-    """Hashes of all masks at each ``step``-th position, mask after mask."""
-    starts = upto(F.size(w) - (SPAN - 1), step)
+def _seeds(w: Column, masks: tuple[str, ...]) -> Column:
+    """Hashes of all masks at every position, mask after mask; the masks have one span."""
+    starts = upto(F.size(w) - (len(masks[0]) - 1))
     at = lambda number, on: lambda i: F.xxhash64(F.lit(number), *[w[i + j] for j in on])
-    ones = [[j for j, bit in enumerate(mask) if bit == "1"] for mask in MASKS]
+    ones = [[j for j, bit in enumerate(mask) if bit == "1"] for mask in masks]
     rows = [F.transform(starts, at(number, on)) for number, on in enumerate(ones)]
     return F.concat(*rows)
 
 
-def _seeded(frame: DataFrame, text: Column, step: int, *cols: Column) -> DataFrame:
+def _seeded(frame: DataFrame, text: Column, masks: tuple[str, ...], *cols: Column) -> DataFrame:
     """``cols``, h and pos: one row for each mask and position."""
-    seeds = frame.select(*cols, let(tokens(text), lambda w: _seeds(w, step)).alias("s"))
-    per_mask = F.size("s") / len(MASKS)
+    seeds = frame.select(*cols, let(tokens(text), lambda w: _seeds(w, masks)).alias("s"))
+    per_mask = F.size("s") / len(masks)
     rows = seeds.select(*[c for c in seeds.columns if c != "s"], per_mask.cast("int").alias("m"), F.posexplode("s").alias("i", "h"))
-    return rows.withColumn("pos", F.expr(f"cast(i % m * {step} as int)")).drop("i", "m")
+    return rows.withColumn("pos", F.expr("cast(i % m as int)")).drop("i", "m")
 
 
 def verified(doc: Column, item: Column) -> Column:
@@ -75,20 +74,22 @@ def verified(doc: Column, item: Column) -> Column:
     return F.aggregate(same, zero, add)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """key, item_id, first_word, end_word, n_equal, score: each verified overlap of a text with a benchmark item.
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, masks: tuple[str, ...] = MASKS
+) -> DataFrame:
+    """key, item_id, first_word, end_word, n_equal, score: the best verified overlap of a text with a benchmark item.
 
-    Seeds cover every position of an item and every second one of a text, so an overlap of 13 equal words is
-    always hit. Verified stretches have at least ``MIN_SPAN`` words and score at least ``MIN_SCORE``. Null and
-    short texts have no seed; items of fewer than 12 words are never hit. Rows with one id and one text are
+    Seeds cover every position of items and texts, so an overlap with ten equal words in a row is always hit. Verified
+    stretches have at least ``MIN_SPAN`` words and score at least ``MIN_SCORE``; of equal scores the first in the text
+    is told. Null and short texts have no seed; items of fewer than ``MIN_SPAN`` words are never hit. Rows with one id and one text are
     one document. Repeated item rows count once; an empty table on either side gives an empty result.
     """
     items = benchmark.select("item_id", body().alias("text")).distinct()
     items = items.select("item_id", F.xxhash64("text").alias("ih"), tokens(F.col("text")).alias("item"), "text")
     items = stage(items.withColumn("n_item", F.size("item")), "items")
-    bench = _seeded(items, F.col("text"), 1, F.col("item_id"), F.col("ih"), F.col("n_item"))
+    bench = _seeded(items, F.col("text"), masks, F.col("item_id"), F.col("ih"), F.col("n_item"))
     bench = stage(bench.withColumnRenamed("pos", "ipos").distinct(), "seeds")
-    texts = _seeded(docs, body(), STEP, row_key().alias("key"))
+    texts = _seeded(docs, body(), masks, row_key().alias("key"))
     if bench.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         hits = texts.join(F.broadcast(bench), "h")
     else:
