@@ -249,3 +249,42 @@ def test_license_edges(spark, edge_rows):  # noqa: F811
     assert by[83].labels == "" and by[84].labels == "all-rights-reserved" and by[85].labels == "gpl-3"
     assert licenses.license_scan(documents(spark, [])).count() == 0
     assert licenses.license_scan(documents(spark, [(None, None, None)] * 2)).count() == 2
+
+
+NOTICES = [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License", "gpl"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+     "License as published by the Free Software Foundation; either version 2.1", "lgpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+     "License as published by the Free Software Foundation", "agpl"),
+    ("Licensed under the GNU General Public License version 3", "gpl-3"), ("Licensed under the GNU General Public License version 2", "gpl-2"),
+    ("GNU Lesser General Public License, version 3", "lgpl"), ("the GNU Affero General Public License, version 3", "agpl"),
+    ("GNU General Public License, version 2", "gpl-2"), ("GNU GPL v3", "gpl-3"), ("GNU GPL v2", "gpl-2"), ("GNU AGPL v3", "agpl"),
+    ("Released under the MIT License", "mit"), ("Licensed under the MIT license.", "mit"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+     "License. You may obtain a copy of the License at", "apache-2"),
+    ("Apache License Version 2.0", "apache-2"), ("SPDX-License-Identifier: Apache-2.0", "apache-2"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"),
+    ("SPDX-License-Identifier: LGPL-2.1", "lgpl"), ("SPDX-License-Identifier: AGPL-3.0-only", "agpl"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+     "conditions are met:", "bsd"),
+    ("The BSD 2-Clause License", "bsd"), ("Mozilla Public License Version 2.0", "mpl-2"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("Released under CC BY-SA 4.0", "cc-by-sa"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("Released under CC BY 4.0", "cc-by"),
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("Licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("All rights reserved.", "all-rights-reserved"), ("Released under the", ""), ("GNU General Public", ""), ("under the terms of the agreement", ""),
+    ("the free software foundation and the general public", ""), ("source and binary forms with", ""),
+]
+
+
+def test_license_notices(spark):
+    """Each notice in the middle of a text gets its own license and no other."""
+    rows = [(i, f"{prose(i, 25)}\n{notice}\n{prose(900 + i, 25)}", "s") for i, (notice, _) in enumerate(NOTICES)]
+    got = {r.key.doc_id: r.labels for r in licenses.license_scan(documents(spark, rows)).collect()}
+    assert {n: got[i] for i, (n, _) in enumerate(NOTICES)} == dict(NOTICES)

@@ -2,7 +2,8 @@
 
 Hashes of all rolling word trigrams of a text meet the trigram positions of license templates in a join;
 hits vote for diagonals (text position less template position), neighbouring diagonals merge, and a merged
-span counts if its words cover enough of the template and of the span itself.
+span counts if its words cover enough of the template and of the span itself. Licenses share much of their wording:
+where spans lie on one another, the template that is covered best names the license.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from .common import body, let, lower_az, row_key, upto
 
 GRAM = 3
 NEAR = 3  # diagonals this close belong to one span: words put in or left out
-MIN_TEMPLATE = {"short": 0.9, "long": 0.4}
-LONG = 24  # words
+MIN_COVERAGE = 0.4
+MISSING = 0.01  # of the square of a template's length: no word of a notice of nine, two of 15, nine of 30
 MIN_SPAN = 0.75
 
 # What ends a word, and the phrases of the base labels.
@@ -49,6 +50,39 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by", "released under cc by 4 0"),
+    ("cc-by-sa", "released under cc by sa 4 0"),
+    ("cc-by-nc", "released under cc by nc 4 0"),
+    ("apache-2", "apache license version 2 0"),
+    ("gpl-2", "gnu general public license version 2"),
+    ("gpl-3", "gnu general public license version 3"),
+    ("lgpl", "gnu lesser general public license version 2 1"),
+    ("lgpl", "gnu lesser general public license version 3"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "gnu affero general public license version 3"),
+    ("gpl-2", "gnu gpl v2"),
+    ("gpl-3", "gnu gpl v3"),
+    ("lgpl", "gnu lgpl v3"),
+    ("agpl", "gnu agpl v3"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
+    ("mpl-2", "mozilla public license version 2 0"),
+    ("mit", "spdx license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("gpl-2", "spdx license identifier gpl 2 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0"),
+    ("lgpl", "spdx license identifier lgpl 2 1"),
+    ("lgpl", "spdx license identifier lgpl 3 0"),
+    ("agpl", "spdx license identifier agpl 3 0"),
+    ("bsd", "spdx license identifier bsd 2 clause"),
+    ("bsd", "spdx license identifier bsd 3 clause"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
+    ("isc", "spdx license identifier isc"),
+    ("unlicense", "spdx license identifier unlicense"),
+    ("cc-by", "spdx license identifier cc by 4 0"),
+    ("cc-by-sa", "spdx license identifier cc by sa 4 0"),
+    ("cc-by-nc", "spdx license identifier cc by nc 4 0"),
     ("all-rights-reserved", "all rights reserved"),
 ]
 
@@ -75,9 +109,11 @@ def _ordinals(starts: Column, n: int = GRAM) -> Column:
 
 
 def license_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """key, label, template, first_word, end_word, coverage (of the template), purity (of the span).
+    """key, label, template, first_word, end_word, covered (words), coverage (of the template), purity (of the span).
 
-    Rows with one id and one text are one document; null and short texts have no trigram.
+    Of spans that lie on one another by more than half of the shorter, those stay whose template fits best (coverage
+    times purity), then those with most covered words; equal ones all stay. Rows with one id and one text are one document; null and
+    short texts have no trigram.
     """
     grams = template_grams(docs.sparkSession, templates or TEMPLATES)
     texts = docs.select(row_key().alias("key"), F.posexplode(let(license_words(body()), _grams)).alias("pos", "h"))
@@ -103,11 +139,25 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         "n_template",
         first.cast("long").alias("first_word"),
         end.cast("long").alias("end_word"),
+        F.col("covered").cast("long").alias("covered"),
         (F.col("covered") / F.col("n_template")).alias("coverage"),
         (F.size("words") / (end - first)).alias("purity"),
     )
-    least = F.when(F.col("n_template") < LONG, MIN_TEMPLATE["short"]).otherwise(MIN_TEMPLATE["long"])
-    return spans.where((F.col("coverage") >= least) & (F.col("purity") >= MIN_SPAN)).drop("n_template")
+    missing = F.col("n_template") - F.col("covered")
+    whole = missing <= F.floor(F.col("n_template") * F.col("n_template") * F.lit(MISSING) + 1e-9)
+    spans = spans.where(whole & (F.col("coverage") >= MIN_COVERAGE) & (F.col("purity") >= MIN_SPAN)).drop("n_template")
+    names = [c for c in spans.columns if c != "key"]
+    # the verified spans of one document, a few for each license it names
+    per_doc = spans.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("spans"))
+
+    def beaten(x: Column) -> Column:
+        size = lambda y: y["end_word"] - y["first_word"]
+        shared = lambda y: F.least(x["end_word"], y["end_word"]) - F.greatest(x["first_word"], y["first_word"])
+        fit = lambda y: F.struct(y["coverage"] * y["purity"], y["covered"])
+        better = lambda y: fit(y) > fit(x)
+        return F.exists("spans", lambda y: (y["label"] != x["label"]) & (2 * shared(y) > F.least(size(x), size(y))) & better(y))
+
+    return per_doc.select("key", F.inline(F.filter("spans", lambda x: ~beaten(x))))
 
 
 def _places(w: Column, phrase: str) -> Column:
