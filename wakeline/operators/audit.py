@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .quantiles import grouped_quantiles
 
 
@@ -162,6 +164,31 @@ def stage_audit(steps: list[tuple[str, DataFrame]], rules: list[tuple[str, Colum
     return tall.join(before, "step_no").select("step_no", "step", "rows_in", F.col("n").alias("rows_out"))
 
 
+def step_counts(
+    head: list[tuple[str, DataFrame]], rules: list[tuple[str, Column]], tail: list[tuple[str, DataFrame]], key: str = "ship_id"
+) -> DataFrame:
+    """Rows and different keys before and after each step: tables, then tests on the last of them, then further tables.
+
+    A table is counted in one aggregate; the tests, each on the survivors of the ones before, in one for all.
+    """
+    passed, tests = F.lit(True), []
+    for _, rule in rules:
+        passed = passed & F.coalesce(rule, F.lit(False))
+        tests.append(F.struct(F.count_if(passed).alias("n"), F.count_distinct(F.when(passed, F.col(key))).alias("k")))
+    whole = F.struct(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("k"))
+    counted = [df.agg(F.array(whole).alias("c")) for _, df in head]
+    counted[-1] = head[-1][1].agg(F.array(whole, *tests).alias("c"))
+    counted += [df.agg(F.array(whole).alias("c")) for _, df in tail]
+    names = [name for name, _ in [*head, *rules, *tail]]
+    starts = [*range(len(head)), *range(len(head) + len(rules), len(names))]
+    parts = [one.select(F.posexplode("c").alias("i", "c")).select((F.col("i") + at).alias("step_no"), "c.n", "c.k") for at, one in zip(starts, counted)]
+    tall = reduce(DataFrame.unionByName, parts).withColumn("step", F.element_at(F.array(*map(F.lit, names)), F.col("step_no") + 1))
+    # a handful of rows, one per step
+    tall = stage(tall, "step-counts")
+    before = tall.select((F.col("step_no") + 1).alias("step_no"), F.col("n").alias("rows_in"), F.col("k").alias("ships_in"))
+    return tall.join(before, "step_no").select("step_no", "step", "rows_in", F.col("n").alias("rows_out"), "ships_in", F.col("k").alias("ships_out"))
+
+
 def quantile_row(df: DataFrame, col: str, probs: dict[str, float]) -> DataFrame:
     q = grouped_quantiles(df, [], col, list(probs.values()))
     return q.select(*[F.col("quantiles")[i].alias(n) for i, n in enumerate(probs)])

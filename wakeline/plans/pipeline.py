@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators import classes, clean, evaluate, outliers, ridge, runs, scaling, splits
+from ..operators import audit, classes, clean, evaluate, outliers, ridge, runs, scaling, splits
+from ..operators.sized import all_of
 from ..schema import FEATURES, RECORD, SCALED_FEATURES
 from ..session import stage
 from .features import feature_table, outlier_features
@@ -28,33 +29,61 @@ class CleaningRules:
     bucket_hours: int = 24
 
 
-def clean_telemetry(legs: DataFrame, register: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
-    """Known ships, no repeats, no sentinels, proper directions, inside ratings, long enough history."""
+def known_once(legs: DataFrame, register: DataFrame, rules: CleaningRules) -> tuple[DataFrame, DataFrame]:
+    """Rows of known ships, and those without repeats."""
     known = legs.join(register.select("ship_id"), "ship_id", "left_semi")
     if rules.filter_history_first:
         known = clean.min_history(known, rules.min_rows)
-    once = clean.keep_first(known, list(rules.dedup_key))
-    whole = clean.dir_positive(clean.missing_ge(once, limit=rules.missing_from))
-    rated = clean.rated_range(clean.join_ratings(whole, register, ["draft", "speed_at_mcr", "rpm_at_mcr"]))
+    return known, clean.keep_first(known, list(rules.dedup_key))
+
+
+def row_rules(rules: CleaningRules) -> list[tuple[str, Column]]:
+    """The tests on single rows, in order; a row needs its ship's ratings beside it."""
+    return [
+        ("missing", clean.no_missing_ge(limit=rules.missing_from)),
+        ("directions", clean.is_dir_positive()),
+        ("ratings", clean.is_rated()),
+    ]
+
+
+def with_ratings(legs: DataFrame, register: DataFrame) -> DataFrame:
+    return clean.join_ratings(legs, register, ["draft", "speed_at_mcr", "rpm_at_mcr"])
+
+
+def clean_telemetry(legs: DataFrame, register: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """Known ships, no repeats, no sentinels, proper directions, inside ratings, long enough history."""
+    _, once = known_once(legs, register, rules)
+    rated = with_ratings(once, register).where(all_of([rule for _, rule in row_rules(rules)]))
     # read twice by the history filter
     return clean.min_history(stage(rated.select(*legs.columns), "clean"), rules.min_rows)
 
 
-def drop_outliers(legs: DataFrame, register: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+def without_outliers(legs: DataFrame, register: DataFrame, rules: CleaningRules) -> DataFrame:
     """Rows that are no outliers. Rows without a score (no power rating, very short history) are none and stay."""
     base = stage(outlier_features(legs, register), "outlier-in")
     scored = stage(outliers.knn_score(base, ["norm_rpm3", "norm_foc_me", "norm_tw_speed"]), "outlier-scores")
     kept = outliers.outlier_label(scored, contamination=rules.contamination).where("coalesce(outlier_label, 0) = 0")
-    return clean.min_history(stage(kept.select(*legs.columns), "outlier-out"), rules.min_rows)
+    return stage(kept.select(*legs.columns), "outlier-out")
 
 
-def continuous_records(legs: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
-    """Rows of usable continuous runs with run length and index."""
+def drop_outliers(legs: DataFrame, register: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """``without_outliers``, then ships with enough rows left."""
+    return clean.min_history(without_outliers(legs, register, rules), rules.min_rows)
+
+
+def run_steps(legs: DataFrame, rules: CleaningRules = CleaningRules()) -> list[tuple[str, DataFrame]]:
+    """What each run rule leaves; every one but the last is a stage table."""
     hours = {"bucket_hours": rules.bucket_hours}
     found = stage(runs.continuous_runs(legs, gap=rules.gap_hours, **hours), "runs")
     long_enough = runs.min_run_length(found, rules.min_run)
     burning = stage(runs.drop_low_fuel_runs(long_enough, rules.low_fuel, **hours), "runs-fuel")
     banded = runs.run_change_band(burning, *rules.change_band, **hours)
+    return [("connected", found), ("run_length", long_enough), ("low_fuel", burning), ("change_band", banded)]
+
+
+def continuous_records(legs: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """Rows of usable continuous runs with run length and index."""
+    banded = run_steps(legs, rules)[-1][1]
     return banded.select(*[c for c in RECORD if c in banded.columns])
 
 
@@ -64,6 +93,24 @@ def telemetry_to_records(legs: DataFrame, register: DataFrame, rules: CleaningRu
     return continuous_records(kept, rules)
 
 
+def job_audit(legs: DataFrame, register: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """Rows and ships before and after every step of ``telemetry_to_records``.
+
+    Single-row tests are counted together in one pass; the other steps are counted on the tables the job writes.
+    """
+    known, once = known_once(legs, register, rules)
+    base = stage(with_ratings(once, register), "audit-once")
+    cleaned = stage(clean.min_history(_passed(base, rules, legs.columns), rules.min_rows), "audit-clean")
+    normal = without_outliers(cleaned, register, rules)
+    kept = stage(clean.min_history(normal, rules.min_rows), "audit-kept")
+    tail = [("history", cleaned), ("outliers", normal), ("history_again", kept), *run_steps(kept, rules)]
+    return audit.step_counts([("loaded", legs), ("known_ships", known), ("dedup", base)], row_rules(rules), tail)
+
+
+def _passed(rated: DataFrame, rules: CleaningRules, cols: list[str]) -> DataFrame:
+    return stage(rated.where(all_of([rule for _, rule in row_rules(rules)])).select(*cols), "audit-rows")
+
+
 def register_to_classes(register: DataFrame, ship_types: list[str], k: int = 5) -> DataFrame:
     chosen = clean.register_clean(register).where(F.col("ship_type").isin(*ship_types))
     return classes.ship_classes(chosen, k=k)
