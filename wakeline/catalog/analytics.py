@@ -249,6 +249,60 @@ def _(t):
     return rounded(table, ["coef", "coef_abs"], 4)
 
 
+def _single_sql() -> str:
+    """Ridge on one feature in closed form: CTEs up to ``m``, one model a ship."""
+    alphas = ", ".join(map(str, ridge.ALPHAS))
+    return f"""b AS (SELECT * FROM (SELECT ship_id, {", ".join(ROW_ORDER)}, rpm / nullif(rpm_at_mcr, 0) AS x, foc_me AS y FROM {RATED_F2}
+            WHERE NOT (coalesce(wind_u >= 9000, FALSE) OR coalesce(crnt_u >= 9000, FALSE))) WHERE x IS NOT NULL),
+      p AS (SELECT *, row_number() OVER (PARTITION BY ship_id ORDER BY {", ".join(ROW_ORDER)}) - 1 AS i, count(*) OVER (PARTITION BY ship_id) AS n FROM b),
+      t AS (SELECT *, CAST(n - ceil(n * {ridge.TEST_SHARE}) AS BIGINT) AS train FROM p),
+      e AS (SELECT *, train // {ridge.FOLDS} AS small, train % {ridge.FOLDS} AS extra FROM t),
+      f AS (SELECT *, CASE WHEN i < extra * (small + 1) THEN i // (small + 1) ELSE extra + (i - extra * (small + 1)) // nullif(small, 0) END AS fold
+            FROM e WHERE i < train),
+      st AS (SELECT ship_id, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM f GROUP BY ship_id),
+      z AS (SELECT f.ship_id, fold, (x - mx) / CASE WHEN sx = 0 THEN 1 ELSE sx END AS u, (y - my) / CASE WHEN sy = 0 THEN 1 ELSE sy END AS v FROM f JOIN st USING (ship_id)),
+      q AS (SELECT ship_id, fold, count(*) AS n, sum(u) AS u, sum(v) AS v, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv FROM z GROUP BY ship_id, fold),
+      a AS (SELECT ship_id, sum(n) AS n, sum(u) AS u, sum(v) AS v, sum(uu) AS uu, sum(uv) AS uv FROM q GROUP BY ship_id),
+      o AS (SELECT q.*, alpha, a.n - q.n AS rn, a.u - q.u AS ru, a.v - q.v AS rv, a.uu - q.uu AS ruu, a.uv - q.uv AS ruv
+            FROM q JOIN a USING (ship_id), (SELECT unnest([{alphas}]) AS alpha)),
+      w AS (SELECT *, (ruv - ru * rv / rn) / (ruu - ru * ru / rn + alpha) AS w FROM o WHERE rn > 0),
+      d AS (SELECT *, (rv - w * ru) / rn AS c FROM w),
+      r AS (SELECT ship_id, alpha, 1 - (vv + w * w * uu + n * c * c - 2 * w * uv - 2 * c * v + 2 * w * c * u) / nullif(vv - v * v / n, 0) AS r2 FROM d),
+      k AS (SELECT ship_id, alpha, avg(r2) AS cv FROM r GROUP BY ship_id, alpha),
+      g AS (SELECT ship_id, arg_max(alpha, cv) AS alpha, max(cv) AS cv_r2 FROM k GROUP BY ship_id),
+      h AS (SELECT ship_id, alpha, cv_r2, a.uv / (a.uu + alpha) * sy / CASE WHEN sx = 0 THEN 1 ELSE sx END AS coef, mx, my
+            FROM g JOIN a USING (ship_id) JOIN st USING (ship_id)),
+      m AS (SELECT ship_id, alpha, cv_r2, coef, my - coef * mx AS intercept FROM h)"""
+
+
+def single_models(t):
+    """Rows with folds, and ridge models on normalised engine speed alone."""
+    rows = stage(ridge.with_folds(ridge_rows(t), ROW_ORDER, bucket_hours=MONTH), "ridge-folds")
+    return rows, stage(ridge.fit_ridge(rows, ["normalized_rpm"], "foc_me"), "ridge-models")
+
+
+@query("ridge_single", f"WITH {_single_sql()} SELECT ship_id, alpha, {r('cv_r2', 5)} AS cv_r2, {r('coef', 4)} AS coef, {r('intercept', 4)} AS intercept FROM m")
+def _(t):
+    """Cross-validated ridge with one feature: penalty, mean fold R2 and model per ship."""
+    _rows, models = single_models(t)
+    out = models.select("ship_id", "alpha", rc("cv_r2", 5).alias("cv_r2"), F.col("coef")[0].alias("coef"), "intercept")
+    return rounded(out, ["coef", "intercept"], 4)
+
+
+@query(
+    "what_if_single",
+    f"""WITH {_single_sql()}, ends AS (SELECT ship_id, min(x) AS lo, max(x) AS hi FROM b GROUP BY ship_id),
+          s AS (SELECT ship_id, step, lo + (hi - lo) * step / 49.0E0 AS x FROM ends CROSS JOIN (SELECT CAST(unnest(range(50)) AS INTEGER) AS step))
+        SELECT ship_id, step, {r('x')} AS normalized_rpm, {r('intercept + coef * x', 4)} AS pred FROM s JOIN m USING (ship_id)""",
+)
+def _(t):
+    """The one-feature models scored over each ship's range of normalised engine speed."""
+    rows, models = single_models(t)
+    grid = ridge.sweep_grid(rows, "normalized_rpm")
+    scored = ridge.predict(grid, models, ["normalized_rpm"])
+    return rounded(rounded(scored.select("ship_id", "step", "normalized_rpm", "pred"), ["normalized_rpm"]), ["pred"], 4)
+
+
 Y, P = "tw_speed", "pred_tw_speed"
 MAE = f"avg(abs({Y} - {P}))"
 RMSE = f"sqrt(avg(({Y} - {P}) * ({Y} - {P})))"
