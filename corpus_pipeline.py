@@ -27,12 +27,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays: the one with the smallest id; of rows with that id the one with the smallest
+    text hash, once. Of a group without any id one row of each fingerprint stays. Null texts are empty; texts without
+    words form one group.
+    """
     return simhash.keep_one(docs, simhash.simhash_groups(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go. Null and empty texts overlap none and stay; rows with one id and one text
+    go or stay together; null and short items and an empty benchmark take nothing away."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
