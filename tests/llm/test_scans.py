@@ -288,3 +288,30 @@ def test_license_notices(spark):
     rows = [(i, f"{prose(i, 25)}\n{notice}\n{prose(900 + i, 25)}", "s") for i, (notice, _) in enumerate(NOTICES)]
     got = {r.key.doc_id: r.labels for r in licenses.license_scan(documents(spark, rows)).collect()}
     assert {n: got[i] for i, (n, _) in enumerate(NOTICES)} == dict(NOTICES)
+
+
+def test_secret_network_reads_whole_values():
+    """What stands after the first characters of a long value counts, in the code and in the score."""
+    net = secrets.train(*_small())
+    rng = np.random.default_rng(4)
+    for n in (10, secrets.VALUE, secrets.VALUE + 1, 300):
+        value = "".join(rng.choice(list("abc019"), n))
+        texts = [f"key: {value} end", f"key: {value[:-1]}/ end"]
+        codes = [secrets.encode(t, 5, 5 + n) for t in texts]
+        assert len(codes[0]) == secrets.BEFORE + max(secrets.VALUE, n) + secrets.AFTER
+        assert (codes[0] != codes[1]).sum() == 1
+        # one convolution over all places, its maximum, one logistic unit
+        for c, got in zip(codes, net.logits(codes)):
+            z = sum(net.conv[k][c[k : len(c) - secrets.WIDTH + 1 + k]] for k in range(secrets.WIDTH)) + net.bias
+            assert got == pytest.approx(np.maximum(z.max(0), 0) @ net.out + net.shift)
+    found = [(f"x {'a1' * n}", 2, 2 + 2 * n, n % 2) for n in range(9, 120)]
+    fitted = secrets.train([secrets.encode(t, s, e) for t, s, e, _ in found], np.array([y for *_, y in found], float), epochs=1)
+    assert np.isfinite(fitted.conv).all()
+
+
+def test_corpus_findings_of_whole_texts(spark):
+    keys = [f"token={c * 50}" for c in "ghijklmn"]
+    text = "a considerable beginning " + " and ".join(keys) + " notwithstanding"
+    found = secrets.corpus_findings(documents(spark, [(1, text, None)]))
+    assert {t[s:e] for t, s, e, y in found if y} == set(keys)
+    assert {t[s:e] for t, s, e, y in found if not y} == {"considerable", "notwithstanding"}
