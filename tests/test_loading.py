@@ -1,6 +1,7 @@
 """Two trees of record arrays loaded again and again."""
 
 import glob
+import gzip
 import json
 import os
 
@@ -100,3 +101,29 @@ def test_record_arrays_round_trip(spark, tmp_path):
     assert len(names) == 3 and all(isinstance(json.load(open(n)), list) for n in names)
     read = files.scan_json_tree(spark, f"{tmp_path}/t", df.drop("ship", "decade").schema, "*.txt", 3, True)
     assert sorted(map(str, (tuple(r) for r in read.collect()))) == sorted(map(str, [(1.5, "x", 1), (None, "ÿ\"\n", 1), (2.0, None, 2)]))
+
+
+def test_record_arrays_stream_and_pack(spark, tmp_path):
+    """Packed files hold the same rows; rows are shuffled as columns, once, and no array is gathered."""
+    rows = [(s, i, f"r{i}") for s in (1, 2, 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "ship int, n int, note string")
+    files.write_record_arrays(df, f"{tmp_path}/t", ["ship"], "gzip")
+    names = glob.glob(f"{tmp_path}/t/ship=*/*.txt.gz")
+    assert len(names) == 3
+    assert all(len(json.load(gzip.open(n, "rt"))) == 50 for n in names)
+    read = files.scan_json_tree(spark, f"{tmp_path}/t", None, "*.txt.gz", 2, True)
+    assert sorted(map(str, (tuple(r) for r in read.select("ship_id", "n", "note").collect()))) == sorted(map(str, rows))
+
+
+def test_schema_of_many_small_files_is_many_tasks(spark, tmp_path):
+    """Types of all files count, and the files are dealt to more than one task."""
+    for ship in range(80):
+        os.makedirs(f"{tmp_path}/{ship}")
+        with open(f"{tmp_path}/{ship}/draftlist.json", "w") as f:
+            json.dump([{"dep_utc": "2019-01-01 00:00:00", "cargo": 1 if ship else 1.5}, {f"c{ship % 3}": "x"}], f, indent=1)
+    found = files.schema_of_arrays(spark, str(tmp_path), "draftlist.json")
+    assert found.simpleString() == "struct<c0:string,c1:string,c2:string,cargo:double,dep_utc:string>"
+    text = spark.read.option("recursiveFileLookup", True).text(str(tmp_path), wholetext=True)
+    assert text.rdd.getNumPartitions() > 1
+    lists = files.scan_draftlists(spark, [str(tmp_path)])
+    assert lists.count() == 160 and dict(lists.dtypes)["cargo"] == "double"

@@ -28,14 +28,14 @@ def leg_rows(t, corrected: bool = False) -> DataFrame:
 
 
 def staged_legs(t, corrected: bool = False) -> str:
-    """A telemetry tree <root>/ship=../decade=../part=../*.txt, each file one array of records."""
+    """A telemetry tree <root>/ship=../decade=../part=../*.txt.gz, each file one packed array of records."""
     root = stage_path(t.spark, "corrected-tree" if corrected else "leg-tree")
-    files.write_record_arrays(leg_rows(t, corrected), root, ["ship", "decade", "part"])
+    files.write_record_arrays(leg_rows(t, corrected), root, ["ship", "decade", "part"], "gzip")
     return root
 
 
 def read_legs(t, roots: list[str]) -> DataFrame:
-    return files.scan_legs(t.spark, roots, file_glob="*.txt")
+    return files.scan_legs(t.spark, roots, file_glob="*.txt.gz")
 
 
 # corrected records before raw ones
@@ -88,9 +88,9 @@ def _(t):
     rows = t.f4_voyage.withColumn("cargo", F.expr("'c' || ship_id % 7")).withColumn("draft_dm", F.expr("ship_id % 11"))
     rows = rows.withColumnRenamed("ship_id", "ship")
     roots = [stage_path(t.spark, "corrected-draftlists"), stage_path(t.spark, "draftlists")]
-    files.write_record_arrays(rows.where("ship % 5 = 0").withColumn("cargo", F.lit("corrected")), roots[0], ["ship"])
-    files.write_record_arrays(rows, roots[1], ["ship"])
-    return files.scan_draftlists(t.spark, roots, file_glob="*.txt")
+    files.write_record_arrays(rows.where("ship % 5 = 0").withColumn("cargo", F.lit("corrected")), roots[0], ["ship"], "gzip")
+    files.write_record_arrays(rows, roots[1], ["ship"], "gzip")
+    return files.scan_draftlists(t.spark, roots, file_glob="*.txt.gz")
 
 
 _FIRST = f"""SELECT ship_id, client, strftime(utc, '%Y-%m-%d %H:%M:%S') AS utc, min(source_rank) AS source_rank,
@@ -111,8 +111,8 @@ def two_loads(t):
     raw = staged_legs(t)
     empty = stage_path(t.spark, "no-corrections")
     t.spark.createDataFrame([], "value string").write.text(empty)
-    changes = [incremental.load_trees(t.spark, [empty, raw], table, "*.txt")]
-    changes.append(incremental.load_trees(t.spark, [staged_legs(t, corrected=True), raw], table, "*.txt"))
+    changes = [incremental.load_trees(t.spark, [empty, raw], table, "*.txt.gz")]
+    changes.append(incremental.load_trees(t.spark, [staged_legs(t, corrected=True), raw], table, "*.txt.gz"))
     return table, changes
 
 
