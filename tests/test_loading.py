@@ -127,3 +127,13 @@ def test_schema_of_many_small_files_is_many_tasks(spark, tmp_path):
     assert text.rdd.getNumPartitions() > 1
     lists = files.scan_draftlists(spark, [str(tmp_path)])
     assert lists.count() == 160 and dict(lists.dtypes)["cargo"] == "double"
+
+
+def test_few_folders_are_written_without_a_sort(spark, tmp_path):
+    df = spark.range(100).select("id", (F.col("id") % 3).cast("string").alias("client"))
+    before = spark.conf.get(files.WRITERS)
+    for folders in (3, 20):
+        path = f"{tmp_path}/{folders}"
+        files.sink_table(df.withColumn("client", (F.col("id") % folders).cast("string")), path, ["client"])
+        assert len(glob.glob(f"{path}/client=*")) == folders and spark.read.parquet(path).count() == 100
+    assert spark.conf.get(files.WRITERS) == before
