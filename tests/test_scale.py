@@ -159,3 +159,23 @@ def test_pca_outlier_per_ship(spark):
         vt = vt * np.sign(np.take_along_axis(vt, np.abs(vt).argmax(1)[:, None], 1))
         want = sum(np.sqrt(((z - vt[k]) ** 2).sum(1)) / share[k] for k in range(2))
         assert [got[ship, i] for i in range(len(x))] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_keep_first_sorts_after_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("ship_id"), (F.col("id") % 3).alias("utc"), F.rand(1).alias("foc"))
+    plan = clean.keep_first(df, ["ship_id", "utc"])._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "Sort" not in below and plan.count("Exchange") == 1
+
+
+def test_single_filter_is_the_joint_rule_on_all_rows(spark):
+    """Every score counts all rows, not those an earlier limit has left."""
+    rng = np.random.default_rng(8)
+    data = [(s, float(a), float(b) if i % 9 else None) for s in (1, 2) for i, (a, b) in enumerate(rng.integers(0, 60, (80, 2)))]
+    df = spark.createDataFrame(data, "ship_id long, a double, b double")
+    got = outliers.single_filter(df, {"a": 4.0, "b": 5.0}).collect()
+    scored = outliers.knn_score_1d(outliers.knn_score_1d(df, "a", out="sa"), "b", out="sb")
+    want = scored.where("sa < 4.0 AND sb < 5.0").select("ship_id", "a", "b").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and 0 < len(got) < len(data)
+    joins = outliers.single_filter(df, {"a": 4.0, "b": 5.0})._jdf.queryExecution().executedPlan().toString().count("Join ")
+    assert joins <= 2
