@@ -66,6 +66,31 @@ def test_longest_previous_factor():
     assert got.tolist() == [least[k] < d for k, d in zip(key, doc.tolist())]
 
 
+@pytest.mark.parametrize("ids", [[7], [3, 3, 3], [1, 2, 2, 250, 505], [-9, 0, 70_000], [-(2**63), 5, 2**63 - 1]])
+def test_suffix_packed_ids(ids):
+    data = suffixes._packed(np.array(ids, np.int64))
+    assert suffixes._unpacked(data, len(ids)).tolist() == ids
+    if max(ids) - min(ids) < 1000:
+        assert len(data) == 8 + len(ids) - 1  # a byte for each further id
+
+
+def test_suffix_equal_contexts(monkeypatch):
+    """Byte-equal contexts of one chunk are covered by the earliest document; the arrays see one of them."""
+    import pyarrow as pa
+
+    seen = []
+    inner = suffixes.longest_previous
+    monkeypatch.setattr(suffixes, "longest_previous", lambda words, doc: seen.append(len(doc)) or inner(words, doc))
+    one, two = prose(3, 30).encode()[:60], prose(4, 30).encode()[:70]
+    inside = b"?" + one[:54] + b"!"
+    rows = [(1, 5, 10, one), (1, 2, 0, one), (1, 9, 40, one), (1, 2, 90, one), (1, 7, 3, inside), (2, 4, 0, two), (2, 8, 6, two), (3, 1, 0, two)]
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+    batch = pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "at", "ctx"])
+    got = sorted(tuple(r.values()) for b in suffixes._repeats(50)(iter([batch])) for r in b.to_pylist())
+    assert got == [(5, 0, 10, 70), (7, 0, 4, 58), (8, 0, 6, 76), (9, 0, 40, 100)]
+    assert seen == [11 + 11 + 7]
+
+
 def test_suffix_empty(spark):
     assert suffixes.substring_dedup(documents(spark, [])).count() == 0
 
