@@ -251,3 +251,17 @@ def test_jobs_end_to_end(spark):
     by_split = {r.type: r for r in report["by_split"].collect()}
     assert by_split["train"].r2 > -0.1 and by_split["test"].n_rows > 50
     assert report["by_run"].count() > 0 and report["coverage"].count() == 3
+
+
+def test_leading_rows_hold_the_first_of_each_key(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([4, 5, 6]), rng.choice([None, 0.5, 1.5, float("nan")]), i) for i in range(200)]
+    rows += [(1, None, 9.0, 900), (1, None, None, 901), (7, None, 1.0, 902), (8, 3, 1.0, 903)]
+    df = spark.createDataFrame(rows, "k long, t long, x double, i long")
+    few = clean.leading(df, ["k"], "t")
+    least = {}
+    for k, t, *_ in rows:
+        least[k] = min(least.get(k, 99), -1 if t is None else t)
+    assert sorted(r.i for r in few.collect()) == sorted(i for k, t, _, i in rows if least[k] == (-1 if t is None else t))
+    first = lambda d: sorted(map(str, clean.keep_first(d, ["k"], ["t", "x"]).collect()))
+    assert first(few) == first(df)

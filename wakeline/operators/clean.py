@@ -43,6 +43,17 @@ def keep_first(df: DataFrame, keys: list[str], rank: list[str] | None = None) ->
     return df.repartition(*keys).withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
+def leading(df: DataFrame, keys: list[str], lead: str) -> DataFrame:
+    """The rows with their key's smallest ``lead``, NULL before all values: those ``keep_first`` picks from if ``lead`` ranks first.
+
+    For keys of many rows: only the smallest values are shuffled, and the planner broadcasts them where their file is
+    small enough.
+    """
+    least = df.groupBy(*keys).agg(F.min(lead).alias("_least"), F.max(F.col(lead).isNull()).alias("_null"))
+    least = least.select(*keys, F.when(~F.col("_null"), F.col("_least")).alias(lead))
+    return null_safe_join(df, stage(least, "leading"), [*keys, lead], "left_semi")
+
+
 def duplicate_rows(df: DataFrame, keys: list[str], rank: list[str] | None = None) -> DataFrame:
     """The rows ``keep_first`` rejects, each as often as it occurs.
 
