@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from wakeline.operators import clean
 from wakeline.sources import files, incremental
 
 
@@ -137,3 +138,85 @@ def test_few_folders_are_written_without_a_sort(spark, tmp_path):
         files.sink_table(df.withColumn("client", (F.col("id") % folders).cast("string")), path, ["client"])
         assert len(glob.glob(f"{path}/client=*")) == folders and spark.read.parquet(path).count() == 100
     assert spark.conf.get(files.WRITERS) == before
+
+
+def test_arrays_lie_where_sparks_folders_would(spark, tmp_path):
+    """Folders are named as Spark names them, nulls and signs included; nothing but the arrays lies in them."""
+    marks = ["a/b", "x=1", "50% \\ [z]^", "ü", " ", "", None, "{q}:*?'\"#", "t\ta"]
+    df = spark.createDataFrame([(i % 3 if i % 4 else None, m, f"r{i}") for i in range(3) for m in marks], "ship int, mark string, note string")
+    files.write_record_arrays(df, f"{tmp_path}/t", ["ship", "mark"], "gzip")
+    df.write.partitionBy("ship", "mark").text(f"{tmp_path}/s")
+    folders = lambda top: {os.path.relpath(d, top) for d, _, names in os.walk(top) if any(n.startswith("part-") for n in names)}
+    assert folders(f"{tmp_path}/t") == folders(f"{tmp_path}/s")
+    # no checksum files either: each would start a process, as would each file and folder
+    names = [n for _, _, names in os.walk(f"{tmp_path}/t") for n in names]
+    assert len(names) == 24 == len(folders(f"{tmp_path}/t")) and all(n.startswith("part-") and n.endswith(".txt.gz") for n in names)
+    read = spark.read.option("multiLine", True).schema("note string").json(f"{tmp_path}/t")
+    assert sorted(r.note for r in read.select("note").collect()) == sorted(r.note for r in df.collect())
+
+
+def test_arrays_of_many_batches(spark, tmp_path):
+    """A directory whose rows come in several batches is one array; one without rows leaves an empty tree."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).select((F.col("id") % 3).alias("ship"), F.col("id").alias("n"))
+        files.write_record_arrays(df, f"{tmp_path}/t", ["ship"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    arrays = {n: json.load(open(n)) for n in glob.glob(f"{tmp_path}/t/ship=*/*")}
+    assert len(arrays) == 3
+    assert sorted(r["n"] for a in arrays.values() for r in a) == list(range(100))
+    assert all(r["n"] % 3 == int(n.split("ship=")[1][0]) for n, a in arrays.items() for r in a)
+    files.write_record_arrays(df.where("false"), f"{tmp_path}/e", ["ship"])
+    assert files.scan_legs(spark, [f"{tmp_path}/e"], file_glob="*.txt").count() == 0
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """The scan's tasks are bounded however many files there are, and so are those that list their folders."""
+    df = spark.range(600).select((F.col("id") % 200).alias("ship"), F.lit(1).alias("a"), F.lit(1).alias("b"), F.col("id").cast("string").alias("client"))
+    files.write_record_arrays(df, f"{tmp_path}/t", ["ship", "a", "b"])
+    bound, size = files.file_tasks(spark), "spark.sql.files.maxPartitionBytes"
+    before, listing = spark.conf.get(size), spark.conf.get(files.LISTING)
+    spark.conf.set(size, "4m")
+    try:
+        legs = files.scan_legs(spark, [f"{tmp_path}/t"], file_glob="*.txt")
+        assert bound < 200 and legs.rdd.getNumPartitions() == bound
+        assert incremental.file_manifest(spark, [f"{tmp_path}/t"], "*.txt").rdd.getNumPartitions() <= bound
+        assert sorted(int(r.client) for r in legs.collect()) == list(range(600))
+        assert {(r.ship_id, int(r.client) % 200) for r in legs.collect()} == {(s, s) for s in range(200)}
+    finally:
+        spark.conf.set(size, before)
+    # and listing goes back to what the session had
+    assert spark.conf.get(files.LISTING) == listing
+
+
+def test_a_load_shuffles_rows_once(spark, tmp_path, monkeypatch):
+    """Rows of a bucket meet once; a bucket of large files is written in parts that keep all copies of a key together."""
+    legs = spark.createDataFrame([(b, b % 2, k, r, v) for b in range(4) for k in range(5) for r, v in ((1, 1.0), (0, 2.0), (0, 3.0))], "bucket int, _part int, ship_id int, source_rank int, v double")
+    first = clean.keep_first(legs, ["bucket", "_part", "ship_id"], rank=["source_rank"], meet=["bucket", "_part"])
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert sorted((r.bucket, r.ship_id, r.source_rank, r.v) for r in first.collect()) == [(b, k, 0, 2.0) for b in range(4) for k in range(5)]
+    monkeypatch.setattr(incremental, "PART_BYTES", 400)
+    good, raw, table = f"{tmp_path}/good", f"{tmp_path}/raw", f"{tmp_path}/legs"
+    put(raw, 1, "1", [record(h, float(h)) for h in range(24)] * 2)
+    put(raw, 2, "1", [record(0, 1.0)])
+    put(good, 1, "1", [record(h, 9.0) for h in range(0, 24, 2)])
+    incremental.load_trees(spark, [good, raw], table)
+    got = [r[2:] for r in rows(spark, table) if r[0] == 1]
+    assert got == [(9.0, 0) if h % 2 == 0 else (float(h), 1) for h in range(24)]
+    buckets = {b: len(glob.glob(f"{b}/*.parquet")) for b in glob.glob(f"{table}/bucket=*")}
+    assert len(buckets) == 2 and min(buckets.values()) == 1
+
+
+def test_arrays_on_a_file_system_only_spark_reads(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.arrays.link./in", f"file://{tmp_path}")
+    root = "viewfs://arrays/in/t"
+    assert files.local_folder(spark, root) is None and files.local_folder(spark, f"file://{tmp_path}/t") == f"{tmp_path}/t"
+    df = spark.range(30).select((F.col("id") % 3).alias("ship"), F.lit(1).alias("a"), F.lit(1).alias("b"), F.col("id").cast("string").alias("client"))
+    files.write_record_arrays(df, root, ["ship", "a", "b"], "gzip")
+    assert len(glob.glob(f"{tmp_path}/t/ship=*/a=1/b=1/*.txt.gz")) == 3
+    read = files.scan_legs(spark, [root], file_glob="*.txt.gz").select("ship_id", "client").collect()
+    assert sorted((int(r.client), r.ship_id) for r in read) == [(i, i % 3) for i in range(30)]
