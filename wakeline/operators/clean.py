@@ -29,18 +29,19 @@ def safe_numeric_cast(df: DataFrame, cols: list[str], to: str = "float") -> tupl
     return good, df.where(~ok)
 
 
-def keep_first(df: DataFrame, keys: list[str], rank: list[str] | None = None) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[str], rank: list[str] | None = None, meet: list[str] | None = None) -> DataFrame:
     """One row per key: the smallest by ``rank``, then by the remaining columns.
 
     Rows meet by key first and are sorted there: a sort ahead of the shuffle would hold, and spill, the whole
-    input of a task. Copies of one key are sorted outside memory where they do not fit.
+    input of a task. Copies of one key are sorted outside memory where they do not fit. With ``meet``, some of the
+    keys, rows meet by those alone and come sorted by ``keys``.
     """
     rank = rank or []
     rest = rank + [c for c in df.columns if c not in keys and c not in rank]
     if not rest:
         return df.select(*keys).distinct()
     order = Window.partitionBy(*keys).orderBy(*rest)
-    return df.repartition(*keys).withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return df.repartition(*(meet or keys)).withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
 def leading(df: DataFrame, keys: list[str], lead: str) -> DataFrame:

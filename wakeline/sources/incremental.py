@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from ..operators.clean import keep_first
 from ..schema import LEG_SCHEMA
 from ..session import stage
-from .files import path_id, scan_legs
+from .files import file_tasks, list_tree, path_id, scan_legs
 
 BUCKETS = 256
+PART_BYTES = 32 << 20  # of files whose rows a task sorts and writes at once
 MANIFEST = "path string, source_rank int, ship_id long, bucket int, length long, modified timestamp"
 
 
@@ -30,9 +31,10 @@ def file_manifest(spark: SparkSession, roots: list[str], file_glob: str, id_leve
     """One row for each matching file below the roots; contents are not read."""
     parts = []
     for rank, root in enumerate(roots):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", file_glob).load(root)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", file_glob)
+        found = list_tree(spark, lambda: reader.load(root))
         parts.append(found.select("path", F.lit(rank).alias("source_rank"), path_id(id_level, "path").alias("ship_id"), "length", "modificationTime"))
-    return reduce(DataFrame.unionByName, parts).select(
+    return reduce(DataFrame.unionByName, parts).coalesce(file_tasks(spark)).select(
         "path", "source_rank", "ship_id", bucket_of(buckets=buckets).alias("bucket"), "length", F.col("modificationTime").alias("modified")
     )
 
@@ -80,9 +82,13 @@ def load_trees(
     if touched:
         # the bucket follows from the file's path, so files of other buckets are left out of the scan
         legs = scan_legs(spark, roots, file_glob, multi_line, schema).withColumn("bucket", bucket_of(buckets=buckets))
-        rows = keep_first(legs.where(F.col("bucket").isin(touched)), [*key, "bucket"], rank=["source_rank"])
+        sizes = dict(now.where(F.col("bucket").isin(touched)).groupBy("bucket").agg(F.sum("length")).collect())
+        # rows meet by bucket, the unit of the write, and by parts of those whose files are large
+        parts = F.lit([1 + sizes.get(b, 0) // PART_BYTES for b in range(buckets)])[F.col("bucket")]
+        legs = legs.where(F.col("bucket").isin(touched)).withColumn("_part", F.pmod(F.xxhash64(*key), parts))
+        rows = keep_first(legs, ["bucket", "_part", *key], rank=["source_rank"], meet=["bucket", "_part"]).drop("_part")
         seen = Observation()
-        rows = rows.observe(seen, F.collect_set("bucket").alias("buckets")).hint("rebalance", "bucket")
+        rows = rows.observe(seen, F.collect_set("bucket").alias("buckets"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
         for bucket in set(touched) - set(seen.get["buckets"]):
             _remove(spark, f"{table}/bucket={bucket}")
